@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from datetime import datetime
 
@@ -33,6 +34,44 @@ DATE_FORMATS = (
 PERIOD_UNITS = {"D": "day", "W": "week", "M": "month", "Q": "quarter", "Y": "year", "A": "year"}
 
 
+# What the letters of a layout stand for in a date text.
+LAYOUT_SHAPES = {
+    "yyyy": r"\d{4}",
+    "MMMM": r"[A-Za-z]+",
+    "MMM": r"[A-Za-z]{3}",
+    "MM": r"(?:0[1-9]|1[0-2])",
+    "M": r"(?:0?[1-9]|1[0-2])",
+    "dd": r"(?:0[1-9]|[12]\d|3[01])",
+    "d": r"(?:0?[1-9]|[12]\d|3[01])",
+    "HH": r"\d{2}",
+    "H": r"\d{1,2}",
+    "mm": r"\d{2}",
+    "ss": r"\d{2}",
+    "[": "(?:",
+    "]": ")?",
+}
+
+
+def layout_shape(layout: str) -> str | None:
+    """A pattern that texts of a date layout match, or None for letters not known here."""
+    out = []
+    for part in re.findall(r"([A-Za-z])(\1*)|(.)", layout, flags=re.DOTALL):
+        token = part[0] + part[1] or part[2]
+        if token in LAYOUT_SHAPES:
+            out.append(LAYOUT_SHAPES[token])
+        elif token.isalpha() or token == "'":
+            return None
+        else:
+            out.append(re.escape(token))
+    return r"\A" + "".join(out) + r"\z"
+
+
+def _parsed(text: Column, layout: str) -> Column:
+    # A failed parse costs an exception inside Spark, a failed match next to nothing.
+    parsed, shape = F.to_timestamp_ntz(text, F.lit(layout)), layout_shape(layout)
+    return parsed if shape is None else F.when(text.rlike(shape), parsed)
+
+
 def parse_dates(
     df: DataFrame, names: Sequence[str], formats: Sequence[str] = DATE_FORMATS
 ) -> DataFrame:
@@ -40,7 +79,7 @@ def parse_dates(
 
     Columns that already are dates stay as they are, so filters still reach the scan.
     """
-    wanted = {}
+    wanted, texts = {}, {}
     for name in require(df, names):
         kind = dtype(df, name)
         if isinstance(kind, T.TimestampNTZType):
@@ -48,17 +87,19 @@ def parse_dates(
         if isinstance(kind, (T.DateType, T.TimestampType, T.NullType)):
             wanted[name] = c(name).cast("timestamp_ntz")
         elif isinstance(kind, T.StringType):
-            text = ws_trim(c(name))
-            wanted[name] = F.coalesce(
-                text.try_cast("timestamp_ntz"),
-                *[F.to_timestamp_ntz(text, F.lit(fmt)) for fmt in formats],
-            )
+            texts[f"__date_text{len(texts)}"] = name
         else:
             raise ValueError(f"column {name!r} of type {kind.simpleString()} holds no dates")
+    for token, name in texts.items():
+        text = F.col(token)
+        iso = text.try_cast("timestamp_ntz")
+        wanted[name] = F.coalesce(iso, *[_parsed(text, layout) for layout in formats])
     if not wanted:
         return df
     with null_on_error(df.sparkSession):
-        return df.withColumns(wanted)
+        # Trimmed once, in a projection of its own, not once per layout.
+        trimmed = df.withColumns({token: ws_trim(c(name)) for token, name in texts.items()})
+        return trimmed.withColumns(wanted).drop(*texts)
 
 
 def timestamp_literal(value) -> Column:

@@ -38,7 +38,7 @@ def remove_symbols(
     df: DataFrame, columns: Sequence[str], keep_chars: str = KEEP_CHARS
 ) -> DataFrame:
     """Delete every character outside the class ``keep_chars``."""
-    unwanted = spark_pattern(f"[^{keep_chars}]")
+    unwanted = spark_pattern(f"[^{keep_chars}]+")
     return df.withColumns(
         {
             name: F.regexp_replace(as_text(df, name), unwanted, "")

@@ -44,14 +44,11 @@ def _pick(df: DataFrame, keys, keep, order_by) -> DataFrame:
 
 
 def _only_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    # A group of one row is that row, so any_value restores it exactly.
-    rest = [name for name in df.columns if name not in keys]
-    packed = [F.any_value(F.struct(*[c(n) for n in rest])).alias("__rest")] if rest else []
-    single = df.groupBy(*[c(k) for k in keys]).agg(F.count("*").alias("__n"), *packed)
-    kept = single.filter("__n = 1")
-    return kept.select(
-        *[
-            F.col("__rest").getField(name).alias(name) if name in rest else c(name)
-            for name in df.columns
-        ]
+    # A group of one row is that row, so any_value restores each of its cells; larger
+    # groups are dropped. Fixed-width cells keep this a hash aggregate.
+    rest = {name: f"__cell{i}" for i, name in enumerate(df.columns) if name not in keys}
+    cells = [F.any_value(c(name)).alias(token) for name, token in rest.items()]
+    groups = df.groupBy(*[c(k) for k in keys]).agg(F.count("*").alias("__n"), *cells)
+    return groups.filter("__n = 1").select(
+        *[F.col(rest[name]).alias(name) if name in rest else c(name) for name in df.columns]
     )

@@ -102,6 +102,14 @@ def join_on_common_columns(
         on = sorted(set.intersection(*[set(visible(t)) for t in tables]))
     if not on:
         raise ValueError("the tables have no common column to join on")
+    if how == "outer" and len(tables) > 2:
+        # All keys first, then one left join per table: the work stays linear in the number
+        # of tables, and AQE can split a frequent key in every one of the joins.
+        keys = [_check_keys(t, tables[0], on) for t in tables][0]
+        known = reduce(
+            DataFrame.union, [t.select(*[c(k) for k in keys]) for t in tables]
+        ).distinct()
+        return reduce(lambda a, b: join_tables(a, b, on, "left", suffixes), tables, known)
     return reduce(lambda a, b: join_tables(a, b, on, how, suffixes), tables)
 
 

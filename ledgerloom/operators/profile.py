@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,10 +15,11 @@ from ..functions.names import c, drop_hidden, dtype, require, visible
 from ..functions.text import as_double, as_text
 from .aggregate import adjusted_skewness
 
-# Texts that look like an amount, and texts that look like an identifier.
-CURRENCY_HIT = r"[\$₹€£]|^\(?-?\d{1,3}(?:[ ,]\d{3})+(?:\.\d+)?\)?$"
-ID_HIT = r"^[A-Za-z0-9\-]{6,20}$"
+# Texts that look like an amount (they hold a currency symbol, or are digits
+# grouped in threes), and texts that look like an identifier.
 CURRENCY_SYMBOLS = ("$", "€", "£", "₹")
+GROUPED_AMOUNT = r"^\(?-?\d{1,3}(?:[ ,]\d{3})+(?:\.\d+)?\)?$"
+ID_HIT = r"^[A-Za-z0-9\-]{6,20}$"
 CURRENCY_SHARE = 0.3
 
 TOP_VALUES = 5
@@ -24,23 +27,46 @@ TOP_VALUES = 5
 # shuffle the documents; only the most frequent ones are looked up again.
 LONG_TEXT = 64
 
+STATISTICS = ("min", "max", "skew", "first_date", "last_date")
+
+
+def is_currency(text: Column) -> Column:
+    symbol = reduce(or_, [F.contains(text, F.lit(symbol)) for symbol in CURRENCY_SYMBOLS])
+    return symbol | text.rlike(GROUPED_AMOUNT)
+
 
-def _rate(hit: Column) -> Column:
-    return F.avg(F.coalesce(hit, F.lit(False)).cast("double"))
+def _hits(df: DataFrame, name: str) -> tuple[Column, Column]:
+    """(looks like currency, looks like an identifier); only text needs the patterns."""
+    kind, text = dtype(df, name), as_text(df, name)
+    if isinstance(kind, T.StringType):
+        return is_currency(text), text.rlike(ID_HIT)
+    if isinstance(kind, T.IntegralType):
+        return F.lit(False), F.length(text).between(6, 20)
+    if isinstance(kind, (T.FractionalType, T.BooleanType)):
+        return F.lit(False), F.lit(False)
+    return F.lit(False), text.rlike(ID_HIT)
 
 
 def hit_rates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Per column the share of rows that look like currency, and like an identifier.
 
-    NULL is no hit and all rows count. One pass, one row per column and task shuffled.
+    NULL is no hit and all rows count. One wide aggregate: one row per task is shuffled.
     """
-    names = require(df, columns or visible(df))
-    cells = df.select(*[as_text(df, n).alias(n) for n in names])
-    long = cells.unpivot([], [c(n) for n in names], "column", "value")
-    return long.groupBy("column").agg(
-        _rate(F.col("value").rlike(CURRENCY_HIT)).alias("currency_rate"),
-        _rate(F.col("value").rlike(ID_HIT)).alias("id_rate"),
-    )
+
+    def rate(hit: Column) -> Column:
+        return F.avg(F.when(hit, 1.0).otherwise(0.0))
+
+    rows = []
+    for name in require(df, columns or visible(df)):
+        currency, identifier = _hits(df, name)
+        rows.append(
+            F.struct(
+                F.lit(name).alias("column"),
+                rate(currency).alias("currency_rate"),
+                rate(identifier).alias("id_rate"),
+            )
+        )
+    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
 def _histogram(df: DataFrame) -> DataFrame:
@@ -54,7 +80,7 @@ def _histogram(df: DataFrame) -> DataFrame:
             "column",
             F.when(is_long, F.sha2(value, 256)).otherwise(value).alias("key"),
             is_long.alias("digest"),
-            F.when(is_long, value.rlike(CURRENCY_HIT)).alias("currency"),
+            F.when(is_long, is_currency(value)).alias("currency"),
         )
         .groupBy("column", "key", "digest", "currency")
         .agg(F.count("*").alias("n"))
@@ -103,31 +129,27 @@ def _is_numeric(df: DataFrame, name: str) -> bool:
     return isinstance(dtype(df, name), (T.NumericType, T.BooleanType))
 
 
-def _statistics(df: DataFrame) -> DataFrame | None:
-    """(column, min, max, skew, first_date, last_date) from one wide aggregate."""
-    numeric = [n for n in df.columns if _is_numeric(df, n)]
-    dated = [n for n in df.columns if _is_date_name(df, n)]
-    if not numeric and not dated:
-        return None
-    typed = parse_dates(df.select(*[c(n) for n in numeric + dated]), dated)
-    none = F.lit(None)
+def _facts(df: DataFrame) -> DataFrame:
+    """(position, column, dtype, statistics) of every column from one wide aggregate."""
+    typed = parse_dates(df, [n for n in df.columns if _is_date_name(df, n)])
+    number, day = F.lit(None).cast("double"), F.lit(None).cast("timestamp_ntz")
     rows = []
-    for name in numeric:
-        x = as_double(typed, name)
-        stats = (F.min(x), F.max(x), F.coalesce(adjusted_skewness(x), F.lit(0.0)))
-        rows.append((name, *stats, none.cast("timestamp_ntz"), none.cast("timestamp_ntz")))
-    for name in dated:
-        rows.append((name, *[none.cast("double")] * 3, F.min(c(name)), F.max(c(name))))
-    fields = ("column", "min", "max", "skew", "first_date", "last_date")
-    packed = typed.agg(
-        F.array(
-            *[
-                F.struct(F.lit(name).alias("column"), *[v.alias(f) for v, f in zip(row, fields[1:])])
-                for name, *row in rows
-            ]
-        ).alias("rows")
-    )
-    return packed.select(F.inline("rows"))
+    for position, name in enumerate(df.columns):
+        values = [number, number, number, day, day]
+        if _is_numeric(df, name):
+            x = as_double(df, name)
+            values[:3] = F.min(x), F.max(x), F.coalesce(adjusted_skewness(x), F.lit(0.0))
+        elif _is_date_name(df, name):
+            values[3:] = F.min(c(name)), F.max(c(name))
+        rows.append(
+            F.struct(
+                F.lit(position).alias("position"),
+                F.lit(name).alias("column"),
+                F.lit(dtype(df, name).simpleString()).alias("dtype"),
+                *[v.alias(f) for v, f in zip(values, STATISTICS)],
+            )
+        )
+    return typed.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
 def profile(df: DataFrame) -> DataFrame:
@@ -140,47 +162,48 @@ def profile(df: DataFrame) -> DataFrame:
     df = drop_hidden(df)
     histogram = _histogram(df)
     n, key = F.col("n"), F.col("key")
-    is_currency = F.when(F.col("digest"), F.col("currency")).otherwise(key.rlike(CURRENCY_HIT))
-    is_id = ~F.col("digest") & key.rlike(ID_HIT)
+    # Numbers and flags never look like currency, see _hits; dates and integers may be ids.
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    plain = [
+        f.name
+        for f in df.schema.fields
+        if not isinstance(f.dataType, (T.FractionalType, T.BooleanType))
+    ]
+    money = F.when(F.col("digest"), F.col("currency")).otherwise(
+        F.col("column").isin(texts) & is_currency(key)
+    )
+    identifier = F.col("column").isin(plain) & ~F.col("digest") & key.rlike(ID_HIT)
 
     def share(hit: Column) -> Column:
         return F.sum(F.when(hit, n).otherwise(0)) / F.sum(n)
 
     counts = histogram.groupBy("column").agg(
         F.sum("n").alias("rows"),
-        F.coalesce(F.sum(F.when(key.isNull(), n)), F.lit(0)).alias("nulls"),
+        F.sum(F.when(key.isNull(), n).otherwise(0)).alias("nulls"),
         F.count("key").alias("uniques"),
-        share(is_currency).alias("currency_rate"),
-        share(is_id).alias("id_rate"),
+        share(money).alias("currency_rate"),
+        share(identifier).alias("id_rate"),
     )
-    spec = [(i, n, dtype(df, n).simpleString()) for i, n in enumerate(df.columns)]
-    out = df.sparkSession.createDataFrame(spec, "position int, column string, dtype string")
-    # All sides below have one row per column of the table.
-    out = out.join(F.broadcast(counts), "column", "left")
-    out = out.join(F.broadcast(_top_values(df, histogram)), "column", "left")
-    stats = _statistics(df)
-    if stats is None:
-        number, day = F.lit(None).cast("double"), F.lit(None).cast("timestamp_ntz")
-        out = out.withColumns(
-            {"min": number, "max": number, "skew": number, "first_date": day, "last_date": day}
-        )
-    else:
-        out = out.join(F.broadcast(stats), "column", "left")
     zero = F.lit(0).cast("bigint")
-    return out.orderBy("position").select(
-        "column",
-        "dtype",
-        F.coalesce("rows", zero).alias("rows"),
-        F.coalesce("nulls", zero).alias("nulls"),
-        F.coalesce("uniques", zero).alias("uniques"),
-        F.coalesce("top", F.array().cast("array<struct<value:string,count:bigint>>")).alias("top"),
-        "currency_rate",
-        "id_rate",
-        "min",
-        "max",
-        "skew",
-        "first_date",
-        "last_date",
+    # All three sides have one row per column of the table.
+    return (
+        _facts(df)
+        .join(F.broadcast(counts), "column", "left")
+        .join(F.broadcast(_top_values(df, histogram)), "column", "left")
+        .orderBy("position")
+        .select(
+            "column",
+            "dtype",
+            F.coalesce("rows", zero).alias("rows"),
+            F.coalesce("nulls", zero).alias("nulls"),
+            F.coalesce("uniques", zero).alias("uniques"),
+            F.coalesce("top", F.array().cast("array<struct<value:string,count:bigint>>")).alias(
+                "top"
+            ),
+            "currency_rate",
+            "id_rate",
+            *STATISTICS,
+        )
     )
 
 

@@ -108,34 +108,41 @@ def validate_rules(
             for i, (column, pattern) in enumerate(checks)
         ]
     )
-    long = checked.unpivot([], checked.columns, "rule", "cell").select("rule", "cell.*")
-    # A rule is one group, yet what a map task sends for it is one row of counts and, by
-    # the window's group limit, at most ``samples`` failing texts.
-    counts = long.groupBy("rule").agg(
-        F.count_if("valid").alias("passed"), F.count_if(~F.col("valid")).alias("failed")
-    )
+    counts = checked.agg(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(i).alias("rule"),
+                    F.lit(column).alias("column"),
+                    F.lit(pattern).alias("pattern"),
+                    F.count_if(F.col(f"r{i}.valid")).alias("passed"),
+                    F.count_if(~F.col(f"r{i}.valid")).alias("failed"),
+                )
+                for i, (column, pattern) in enumerate(checks)
+            ]
+        ).alias("rules")
+    ).select(F.inline("rules"))
+    # A rule is one group, yet the window's group limit lets a map task send at most
+    # ``samples`` failing texts of it.
     best = Window.partitionBy("rule").orderBy("text")
     failing = (
-        long.filter(~F.col("valid") & F.col("text").isNotNull())
+        checked.unpivot([], checked.columns, "rule", "cell")
+        .select(F.substring("rule", 2, 9).cast("int").alias("rule"), "cell.*")
+        .filter(~F.col("valid") & F.col("text").isNotNull())
         .withColumn("__rn", F.row_number().over(best))
         .filter(F.col("__rn") <= samples)
         .groupBy("rule")
         .agg(F.sort_array(F.collect_list("text")).alias("samples"))
     )
-    spec = [(f"r{i}", i, column, pattern) for i, (column, pattern) in enumerate(checks)]
-    named = df.sparkSession.createDataFrame(
-        spec, "rule string, position int, column string, pattern string"
-    )
-    zero = F.lit(0).cast("bigint")
+    # Both sides have one row per rule.
     return (
-        named.join(counts, "rule", "left")
-        .join(failing, "rule", "left")
-        .orderBy("position")
+        counts.join(F.broadcast(failing), "rule", "left")
+        .orderBy("rule")
         .select(
             "column",
             "pattern",
-            F.coalesce("passed", zero).alias("passed"),
-            F.coalesce("failed", zero).alias("failed"),
+            "passed",
+            "failed",
             F.coalesce("samples", F.array().cast("array<string>")).alias("samples"),
         )
     )
