@@ -56,13 +56,15 @@ def stream_pl_by_period(
     require(stream, [date])
     dated = parse_dates(stream, [date]).withColumn(PERIOD, period_start(c(date), freq))
     if late:
-        dated = dated.withWatermark(PERIOD, late)
-    return sum_periods(
+        # Watermarks need an instant; periods start on a day, so the way back is exact.
+        dated = dated.withColumn(PERIOD, c(PERIOD).cast("timestamp")).withWatermark(PERIOD, late)
+    sums = sum_periods(
         dated,
         revenue or DEFAULTS.revenue,
         cogs or DEFAULTS.cogs,
         DEFAULTS.expenses if expenses is None else expenses,
     )
+    return sums.withColumn(PERIOD, c(PERIOD).cast("date").cast("timestamp_ntz")) if late else sums
 
 
 def stream_drop_duplicates(
