@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.names import c, drop_hidden, dtype, require, visible
 from ..functions.text import ws_trim
+from ..session import fits_broadcast
 
 JOIN_TYPES = ("left", "right", "inner", "outer")
 
@@ -40,39 +41,52 @@ def join_tables(
 ) -> DataFrame:
     """Join on equal keys (NULL equals NULL); the key appears once.
 
-    Other columns both tables have get the suffixes. The keys are plain hash-join keys, so
-    Spark chooses broadcast or shuffle from measured sizes and AQE splits skewed
-    partitions. AQE cannot split a full outer join, so that is a left join plus the right
-    rows without a partner, both of which it can split.
+    Other columns both tables have get the suffixes. Where a side is small enough to be
+    broadcast, Spark joins without a shuffle. Otherwise an outer join is an inner join,
+    whose skewed partitions AQE splits on both sides, plus the rows without a partner.
     """
     if how not in JOIN_TYPES:
         raise ValueError(f"how must be one of {JOIN_TYPES}, not {how!r}")
     right = drop_hidden(right)
     keys = _check_keys(left, right, [key] if isinstance(key, str) else key)
+    return _join(left, right, keys, how, suffixes, left.select(*[c(k) for k in keys]))
+
+
+def _join(left, right, keys, how, suffixes, left_keys) -> DataFrame:
+    """``left_keys`` holds the key values of ``left``, maybe from a cheaper source."""
     left_name, right_name = _output_names(left, right, keys, suffixes)
     a = left.select(*[c(n).alias(left_name.get(n, n)) for n in left.columns])
     tokens = {k: f"__right_key{i}" for i, k in enumerate(keys)}
     b = right.select(*[c(n).alias(tokens.get(n) or right_name[n]) for n in right.columns])
     equal = reduce(and_, [c(k).eqNullSafe(F.col(t)) for k, t in tokens.items()])
+    right_values = [c(right_name[n]) for n in right.columns if n not in tokens]
 
-    def shaped(joined: DataFrame, source: str) -> DataFrame:
-        key_value = {k: (c(k) if source == "left" else F.col(t)) for k, t in tokens.items()}
-        return joined.select(
-            *[key_value[n].alias(n) if n in tokens else c(n) for n in a.columns],
-            *[c(right_name[n]) for n in right.columns if n not in tokens],
+    def both(kind: str) -> DataFrame:
+        # One of the two keys is NULL where a side has no partner.
+        source = {k: F.col(t) if kind == "right" else c(k) for k, t in tokens.items()}
+        return a.join(b, equal, kind).select(
+            *[source[n].alias(n) if n in tokens else c(n) for n in a.columns], *right_values
         )
 
-    if how in ("left", "inner"):
-        return shaped(a.join(b, equal, how), "left")
-    if how == "right":
-        return shaped(a.join(b, equal, how), "right")
-    known = a.select(*[c(k) for k in keys]).distinct()
-    alone = b.join(known, equal, "left_anti")
-    alone = alone.select(
-        *[F.col(t).alias(k) for k, t in tokens.items()],
-        *[c(right_name[n]) for n in right.columns if n not in tokens],
-    )
-    return shaped(a.join(b, equal, "left"), "left").unionByName(alone, allowMissingColumns=True)
+    def lone_left() -> DataFrame:
+        return a.join(b.select(*tokens.values()).distinct(), equal, "left_anti")
+
+    def lone_right() -> DataFrame:
+        alone = b.join(left_keys.distinct(), equal, "left_anti")
+        return alone.select(*[F.col(t).alias(k) for k, t in tokens.items()], *right_values)
+
+    if how == "inner" or left.isStreaming:
+        return both(how)
+    if how in ("left", "outer") and fits_broadcast(b):
+        parts = [both("left")] + [lone_right()] * (how == "outer")
+    elif how in ("right", "outer") and fits_broadcast(a):
+        parts = [both("right")] + [lone_left()] * (how == "outer")
+    else:
+        parts = [both("inner")]
+        parts += [lone_left()] * (how in ("left", "outer"))
+        parts += [lone_right()] * (how in ("right", "outer"))
+    whole = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    return whole.select(*[c(n) for n in both("inner").columns])
 
 
 def _output_names(left, right, keys, suffixes):
@@ -98,19 +112,20 @@ def join_on_common_columns(
     """Join tables one after the other, by default on all columns that every one has."""
     if not tables:
         return SparkSession.active().createDataFrame([], T.StructType([]))
+    if how not in JOIN_TYPES:
+        raise ValueError(f"how must be one of {JOIN_TYPES}, not {how!r}")
     if on is None:
         on = sorted(set.intersection(*[set(visible(t)) for t in tables]))
     if not on:
         raise ValueError("the tables have no common column to join on")
-    if how == "outer" and len(tables) > 2:
-        # All keys first, then one left join per table: the work stays linear in the number
-        # of tables, and AQE can split a frequent key in every one of the joins.
-        keys = [_check_keys(t, tables[0], on) for t in tables][0]
-        known = reduce(
-            DataFrame.union, [t.select(*[c(k) for k in keys]) for t in tables]
-        ).distinct()
-        return reduce(lambda a, b: join_tables(a, b, on, "left", suffixes), tables, known)
-    return reduce(lambda a, b: join_tables(a, b, on, how, suffixes), tables)
+    out, keys = drop_hidden(tables[0]), [c(k) for k in on]
+    known = out.select(*keys)
+    for table in map(drop_hidden, tables[1:]):
+        out = _join(out, table, _check_keys(out, table, on), how, suffixes, known)
+        # In an outer join a key is known once any table has it. Taken from the tables,
+        # the keys do not depend on the joins so far, which would run again for them.
+        known = known.union(table.select(*keys)) if how == "outer" else out.select(*keys)
+    return out
 
 
 def _cells(df: DataFrame, names: Sequence[str], side: str) -> DataFrame:

@@ -20,6 +20,9 @@ from ..functions.names import c
 GROUPED_ACCURACY = 10_000
 GLOBAL_ACCURACY = 100_000
 
+# A group with more than one in this many rows is handled apart.
+HOT_SHARES = 1000
+
 
 def exact_quantiles(
     df: DataFrame,
@@ -51,7 +54,10 @@ def exact_quantiles(
         .select(*[F.col(g).alias(g + "b") for g in groups], "__n", "__edges")
     )
     same_group = reduce(and_, [F.col(g).eqNullSafe(F.col(g + "b")) for g in groups])
-    data = data.join(F.broadcast(brackets) if few_groups else brackets, same_group)
+    if few_groups:
+        data = data.join(F.broadcast(brackets), same_group)
+    else:
+        data = _join_brackets(data, brackets, same_group)
 
     v, low, high = F.col("__v"), [], []
     for i in range(len(probs)):
@@ -107,3 +113,18 @@ def exact_quantiles(
         *[F.col(g).alias(k) for g, k in zip(groups, by)],
         *[interpolated(i, p) for i, p in enumerate(probs)],
     )
+
+
+def _join_brackets(data: DataFrame, brackets: DataFrame, same_group) -> DataFrame:
+    """Give every row the brackets of its group without bringing a large group together.
+
+    Fewer than ``HOT_SHARES`` groups can hold more than that share of all rows, so those
+    are safe to broadcast, and their rows stay where they are. The others are even enough
+    for a join by group.
+    """
+    rows = brackets.agg(F.sum("__n")).scalar()
+    is_hot = F.col("__n") * HOT_SHARES > rows
+    hot, cold = brackets.filter(is_hot), brackets.filter(~is_hot)
+    in_hot = data.join(F.broadcast(hot), same_group)
+    others = data.join(F.broadcast(hot.drop("__n", "__edges")), same_group, "left_anti")
+    return in_hot.unionAll(others.join(cold, same_group))

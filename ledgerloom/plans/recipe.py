@@ -415,9 +415,14 @@ def _order_kept(state: _State, before: DataFrame, after: DataFrame) -> DataFrame
 def run_recipe_file(
     spark: SparkSession, recipe_path: str, table_path: str, join_path: str | None = None, **options
 ) -> RecipeResult:
-    """Read the tables and run a saved recipe; row positions are read only if a step needs them."""
+    """Read the tables and run a saved recipe.
+
+    Row positions are read only if a step depends on them. A sort does: they keep equal
+    rows in file order, and let even exact copies spread over tasks.
+    """
     recipe = load_recipe(recipe_path)
-    table = read_table(spark, table_path, ordinal=needs_order(recipe))
+    sorts = any(item.get("type") == "sortByDate" for item in recipe)
+    table = read_table(spark, table_path, ordinal=sorts or needs_order(recipe))
     other = read_table(spark, join_path) if join_path else None
     return run_recipe(table, recipe, join_table=other, **options)
 

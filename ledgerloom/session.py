@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # AQE sizes shuffle partitions, splits skewed join partitions and turns sort-merge joins
 # into broadcast joins from measured sizes, so no operator here hard-codes a strategy.
@@ -34,3 +35,24 @@ def work_path(spark: SparkSession, label: str) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="ledgerloom-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether Spark's own size estimate lets it broadcast this table.
+
+    The estimate comes from file sizes and rises through joins, so it errs on the side of
+    "no". Without one (a remote session) the answer is "no" too.
+    """
+    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    limit = _bytes(limit)
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except (AttributeError, ValueError):
+        return False
+    return 0 <= size <= limit
+
+
+def _bytes(text: str) -> int:
+    """Bytes of a Spark size setting such as ``10485760b`` or ``10MB``."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgt]?)b?\s*", text.lower()).groups()
+    return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]

@@ -21,6 +21,7 @@ from ledgerloom import (
     validate_regex,
     validate_rules,
 )
+from ledgerloom.operators import quantiles
 
 
 def column(df, name):
@@ -28,7 +29,8 @@ def column(df, name):
 
 
 def _check_quantiles(spark, frame, probs, **options):
-    rows = [(g, None if pd.isna(v) else float(v)) for g, v in frame.itertuples(index=False)]
+    missing = lambda x, kind: None if pd.isna(x) else kind(x)
+    rows = [(missing(g, int), missing(v, float)) for g, v in frame.itertuples(index=False)]
     df = spark.createDataFrame(rows, "g int, v double")
     got = {r["g"]: tuple(r)[1:] for r in exact_quantiles(df, ["g"], "v", probs, **options).collect()}
     want = frame.dropna(subset=["v"]).groupby("g", dropna=False)["v"]
@@ -69,6 +71,14 @@ def test_quantiles_with_a_hot_group(spark, kind, accuracy):
     _check_quantiles(spark, frame, [0.25, 0.5, 0.75], accuracy=accuracy)
 
 
+@pytest.mark.parametrize("shares", [1, 20, 10**9])
+def test_quantiles_whatever_counts_as_hot(spark, shares, monkeypatch):
+    """No group, some groups, and all groups handled apart."""
+    monkeypatch.setattr(quantiles, "HOT_SHARES", shares)
+    frame = pd.DataFrame({"g": [0] * 50 + [1, 2, 2, None, None], "v": range(55)})
+    _check_quantiles(spark, frame, [0.1, 0.5])
+
+
 def test_outliers(table):
     df = table("a string, b double", ("1", 1.0), ("2", 2.0), ("3", 3.0), ("4", 4.0), ("100", None))
     out = detect_outliers(df, ["a", "b"])

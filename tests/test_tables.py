@@ -34,8 +34,16 @@ def right(table):
     return table("k int, v string, w int", (1, "A", 10), (None, "N", 20), (4, "D", 30))
 
 
+@pytest.fixture(params=["10MB", "-1"])
+def broadcast_limit(request, spark):
+    """Both ways a join can go: one side broadcast, and both shuffled."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", request.param)
+    yield request.param
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize("how", ["left", "right", "inner", "outer"])
-def test_join_types(left, right, how):
+def test_join_types(left, right, how, broadcast_limit):
     out = join_tables(left, right, "k", how)
     assert out.columns == ["k", "v_a", "v_b", "w"]
     both = [(1, "a", "A", 10), (1, "b", "A", 10), (None, "n", "N", 20)]
@@ -62,8 +70,20 @@ def test_join_refuses_text_against_number(left, table):
         join_tables(left, table("k string", "1"), "k")
 
 
-def test_self_join(left):
-    assert join_tables(left, left, "k", "inner").count() == 6
+@pytest.mark.parametrize("how", ["left", "right", "inner", "outer"])
+def test_self_join(left, how, broadcast_limit):
+    assert join_tables(left, left, "k", how).count() == 6
+
+
+@pytest.mark.parametrize("how", ["left", "right", "outer"])
+def test_join_with_a_hot_key_on_the_other_side(spark, how, broadcast_limit):
+    few = spark.range(10).selectExpr("id AS k", "'x' AS a")
+    many = spark.range(30_000).selectExpr("IF(id % 3 = 0, 7, id + 5) AS k", "id AS n")
+    want = few.toPandas().merge(many.toPandas(), on="k", how=how)
+    got = join_tables(few, many, "k", how).toPandas()
+    key = lambda f: sorted(map(repr, f.astype(object).where(f.notna(), None).values.tolist()))
+    assert [len(got), key(got[["a"]])] == [len(want), key(want[["a"]])]
+    assert sorted(got["k"]) == sorted(want["k"])
 
 
 def test_join_with_dotted_key(table):
@@ -79,7 +99,7 @@ def _merged(frames, how):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
-def test_three_way_join_equals_pandas(spark, how):
+def test_three_way_join_equals_pandas(spark, how, broadcast_limit):
     dice = random.Random(7)
     frames = [
         pd.DataFrame(
