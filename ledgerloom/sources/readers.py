@@ -5,18 +5,27 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import ROW_ID, c, quoted
+from ..functions.text import NUMBER_TEXT, ws_trim
 
 # File endings and separators that are recognised.
 FORMATS = {".csv": "csv", ".json": "json", ".parquet": "parquet"}
 SEPARATORS = (",", ";", "\t", "|")
 
+# Texts that mean "missing" in a file without a schema.
+MISSING_TEXTS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+WHOLE_NUMBER_TEXT = r"\A\s*[+-]?\d+\s*\z"
+
 SNIFF_LINES = 20
 _EXTRA = "__extra"
+_WHOLE, _NUMBER, _FLAG, _TEXT = 1, 2, 4, 8
 
 
 def detect_format(name: str) -> str:
@@ -93,15 +102,16 @@ def read_csv(
     schema: T.StructType | str | None = None,
     bad_lines: str = "skip",
     multi_line: bool = False,
-    sampling_ratio: float = 1.0,
     ordinal: bool = False,
 ) -> DataFrame:
     """Read CSV with a header.
 
-    Separator and encoding are detected from the first lines unless given, types from one
-    pass over the data unless a ``schema`` is given, which large inputs should do. Lines
-    with too many fields are skipped (``bad_lines="skip"``) or cut (``"cut"``); short lines
-    are filled with NULL. NUL characters are removed from text.
+    Separator and encoding are detected from the first lines unless given. Without a
+    ``schema``, one pass over the data finds whole numbers, numbers and flags; everything
+    else, dates included, stays text, and the usual spellings of "missing" become NULL.
+    Large inputs should state their schema. Lines with too many fields are skipped
+    (``bad_lines="skip"``) or cut (``"cut"``); short lines are filled with NULL. NUL
+    characters seen in the first lines are removed from all text.
     """
     if bad_lines not in ("skip", "cut"):
         raise ValueError(f"bad_lines must be 'skip' or 'cut', not {bad_lines!r}")
@@ -111,39 +121,56 @@ def read_csv(
         encoding = encoding or sniff_encoding(lines)
         sep = sep or sniff_separator(lines)
         nul = encoding in ("UTF-8", "ISO-8859-1") and any("\x00" in line for line in lines)
-    # Spark splits lines on single bytes; a two-byte encoding is read file by file.
-    multi_line = multi_line or encoding.upper().startswith("UTF-16")
     reader = (
         spark.read.option("header", True)
         .option("sep", sep)
         .option("encoding", encoding)
-        .option("multiLine", multi_line)
+        # Spark splits lines on single bytes; a two-byte encoding is read file by file.
+        .option("multiLine", multi_line or encoding.upper().startswith("UTF-16"))
         .option("escape", '"')
     )
-    if schema is None:
-        schema = (
-            reader.option("inferSchema", True)
-            .option("samplingRatio", sampling_ratio)
-            .csv(path)
-            .schema
-        )
-    elif isinstance(schema, str):
+    if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    clean_names = [f.name.replace("\x00", "").replace("\ufeff", "") for f in schema.fields]
-    fields = [T.StructField(n, f.dataType) for n, f in zip(clean_names, schema.fields)]
+    if schema is not None:
+        fields = [T.StructField(f.name, f.dataType) for f in schema.fields]
+    else:
+        header = [n.replace("\x00", "").replace("\ufeff", "") for n in reader.csv(path).columns]
+        fields = [T.StructField(n, T.StringType()) for n in header]
+    names = [f.name for f in fields]
     if bad_lines == "skip":
-        fields.append(T.StructField(_EXTRA, T.StringType()))
-    df = reader.option("enforceSchema", True).schema(T.StructType(fields)).csv(path)
+        fields = [*fields, T.StructField(_EXTRA, T.StringType())]
+    df = reader.schema(T.StructType(fields)).csv(path)
     if ordinal:
         df = _text_position(df)
     if bad_lines == "skip":
         df = df.filter(F.col(_EXTRA).isNull()).drop(_EXTRA)
     if nul:
-        texts = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
-        df = df.withColumns(
-            {n: F.translate(c(n), "\x00", "") for n in texts if n in df.columns}
+        texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+        df = df.withColumns({n: F.translate(c(n), "\x00", "") for n in texts})
+    return df if schema is not None else _typed(df, names)
+
+
+def _typed(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Text columns cast to the narrowest kind that all their values have."""
+    df = df.withColumns({n: F.when(~c(n).isin(*MISSING_TEXTS), c(n)) for n in names})
+
+    def kind(text: Column) -> Column:
+        return (
+            F.when(text.rlike(WHOLE_NUMBER_TEXT) & text.try_cast("bigint").isNotNull(), _WHOLE)
+            .when(ws_trim(text).rlike(NUMBER_TEXT), _NUMBER)
+            .when(F.lower(text).isin("true", "false"), _FLAG)
+            .when(text.isNotNull(), _TEXT)
         )
-    return df
+
+    found = df.agg(*[F.bit_or(kind(c(n))).alias(f"k{i}") for i, n in enumerate(names)]).first()
+    casts = {}
+    for name, kinds in zip(names, found):
+        target = {_WHOLE: "bigint", _FLAG: "boolean"}.get(kinds)
+        if kinds in (None, _NUMBER, _WHOLE | _NUMBER):
+            target = "double"
+        if target:
+            casts[name] = ws_trim(c(name)).try_cast(target)
+    return df.withColumns(casts) if casts else df
 
 
 def read_json(

@@ -73,6 +73,19 @@ def test_ragged_lines_and_nul(spark, tmp_path):
         read_csv(spark, path, bad_lines="warn")
 
 
+def test_kinds_of_columns(spark, tmp_path):
+    text = "i,x,flag,day,mixed,none,big\n1,1.5,True,2024-01-01,1,NA,1\nNA,n/a,false,,x,,99999999999999999999\n 3,1e3,TRUE,2024-01-02,2d,null,3\n"
+    df = read_csv(spark, save(tmp_path, text))
+    assert [t for _, t in df.dtypes] == [
+        "bigint", "double", "boolean", "string", "string", "double", "double"
+    ]
+    assert rows(df) == [
+        (1, 1.5, True, "2024-01-01", "1", None, 1.0),
+        (None, None, False, None, "x", None, 1e20),
+        (3, 1000.0, True, "2024-01-02", "2d", None, 3.0),
+    ]
+
+
 def test_given_schema(spark, tmp_path):
     df = read_csv(spark, save(tmp_path, "a,b\n01,2\n"), schema="a string, b double")
     assert rows(df) == [("01", 2.0)]
