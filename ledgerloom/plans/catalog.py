@@ -535,12 +535,13 @@ def group_first_last(t):
 
 
 @query(
-    """SELECT l_suppkey, median(l_extendedprice) AS l_extendedprice,
-              median(l_quantity) AS l_quantity FROM lineitem GROUP BY 1"""
+    """SELECT l_suppkey, round(median(l_extendedprice), 4) AS l_extendedprice,
+              round(median(l_quantity), 4) AS l_quantity FROM lineitem GROUP BY 1"""
 )
 def group_median(t):
     aggs = {"l_extendedprice": "median", "l_quantity": "median"}
-    return group_by_aggregate(t.lineitem, ["l_suppkey"], aggs)
+    out = group_by_aggregate(t.lineitem, ["l_suppkey"], aggs)
+    return out.withColumns({name: F.round(name, 4) for name in aggs})
 
 
 def _pl_sql(unit):
@@ -677,7 +678,7 @@ def outliers(t):
 
 
 @query(
-    """SELECT name, round(q1 - 1.5 * (q3 - q1), 4) AS low, round(q3 + 1.5 * (q3 - q1), 4) AS high
+    """SELECT name, round(q1 - 1.5 * (q3 - q1), 6) AS low, round(q3 + 1.5 * (q3 - q1), 6) AS high
        FROM (SELECT 'l_extendedprice' AS name, quantile_cont(l_extendedprice, 0.25) q1,
                     quantile_cont(l_extendedprice, 0.75) q3 FROM lineitem
              UNION ALL SELECT 'l_quantity', quantile_cont(l_quantity, 0.25),
@@ -688,8 +689,8 @@ def outlier_bounds(t):
     names = F.create_map(*[F.lit(x) for i, n in enumerate(columns) for x in (f"n{i}", n)])
     return outlier_fences(t.lineitem, columns).select(
         names[F.col("name")].alias("name"),
-        F.round("low", 4).alias("low"),
-        F.round("high", 4).alias("high"),
+        F.round("low", 6).alias("low"),
+        F.round("high", 6).alias("high"),
     )
 
 
