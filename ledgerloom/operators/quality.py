@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import c, require
 from ..functions.text import as_double, as_text, full_match
-from .quantiles import GLOBAL_ACCURACY, exact_quantiles
+from .quantiles import exact_quantiles
 
 # Named patterns of the validator.
 PRESETS = {
@@ -26,9 +26,7 @@ def outlier_fences(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> Dat
     names = require(df, columns)
     numbers = df.select(*[as_double(df, name).alias(f"n{i}") for i, name in enumerate(names)])
     long = numbers.unpivot([], [f"n{i}" for i in range(len(names))], "name", "value")
-    quartiles = exact_quantiles(
-        long, ["name"], "value", [0.25, 0.75], GLOBAL_ACCURACY, few_groups=True
-    )
+    quartiles = exact_quantiles(long, ["name"], "value", [0.25, 0.75], few_groups=True)
     reach = F.lit(float(k)) * (F.col("q1") - F.col("q0"))
     return quartiles.select(
         "name", (F.col("q0") - reach).alias("low"), (F.col("q1") + reach).alias("high")

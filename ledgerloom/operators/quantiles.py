@@ -1,24 +1,36 @@
 """Exact quantiles per group whose state stays small, however large a group is.
 
-Spark's ``percentile`` keeps every distinct value of a group in one task. Here a bounded
-sketch first brackets each wanted rank; a second pass counts the rows outside the brackets
-as one row per gap and keeps distinct values only inside them. Both passes combine on the
-map side, so a group holding most of the table is spread like any other.
+Spark's ``percentile`` keeps every distinct value of a group in one task. Here the wanted
+ranks are closed in on, by passes that all combine on the map side:
+
+1. a small sketch brackets each rank,
+2. rows outside the brackets are counted as one row per gap; inside, equal values are
+   counted together and assigned to buckets of equal width,
+3. running sums over the buckets tell which bucket holds the rank, and only the values of
+   that bucket are put in order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import and_, or_
+from operator import and_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import c
+from ..session import estimated_bytes
 
-GROUPED_ACCURACY = 10_000
-GLOBAL_ACCURACY = 100_000
+# The sketch is off by at most one in ACCURACY ranks. All sketches of a group are merged in
+# one task, so they are kept small and their number is bounded by SKETCH_TASKS.
+ACCURACY = 1000
+SKETCH_TASKS = 4096
+BUCKETS = 4096
+
+# Tables Spark estimates at no more than this go through its own aggregate: whatever the
+# groups are, one task can hold all the values.
+SMALL_TABLE_BYTES = 64 << 20
 
 # A group with more than one in this many rows is handled apart.
 HOT_SHARES = 1000
@@ -29,7 +41,6 @@ def exact_quantiles(
     by: Sequence[str],
     value: str,
     probs: Sequence[float],
-    accuracy: int = GROUPED_ACCURACY,
     few_groups: bool = False,
 ) -> DataFrame:
     """One row per group of ``by``: ``q0``, ``q1``, ... for the probabilities ``probs``.
@@ -38,93 +49,153 @@ def exact_quantiles(
     ``few_groups`` promises that the number of groups does not grow with the data, which
     is what makes broadcasting their brackets safe.
     """
-    data = df.select(*[c(k).alias(f"__g{i}") for i, k in enumerate(by)], c(value).alias("__v"))
-    data = data.filter("__v IS NOT NULL")
     groups = [f"__g{i}" for i in range(len(by))]
+    data = df.select(*[c(k).alias(g) for k, g in zip(by, groups)], c(value).alias("__v"))
+    data = data.filter("__v IS NOT NULL")
+    ordered = sorted(set(probs))
+    if not few_groups and estimated_bytes(data) <= SMALL_TABLE_BYTES:
+        listed = F.array(*[F.lit(float(p)) for p in probs])
+        small = data.groupBy(*groups).agg(F.percentile("__v", listed).alias("__q"))
+        return small.select(
+            *[F.col(g).alias(k) for g, k in zip(groups, by)],
+            *[F.col("__q")[i].alias(f"q{i}") for i in range(len(probs))],
+        )
+
+    bracketed = _with_brackets(data, groups, ordered, few_groups)
+    counted = _counted(bracketed, groups, len(ordered))
+    ranks = [_rank(p) + step for p in ordered for step in (0, 1)]
+    placed = _placed(counted, groups, ranks)
+
+    picks = [
+        pick.alias(f"__{side}{i}")
+        for i, p in enumerate(ordered)
+        for side, pick in (
+            ("a", _value_at(_rank(p))),
+            ("b", _value_at(F.least(_rank(p) + 1, F.col("__n") - 1))),
+        )
+    ]
+    found = placed.groupBy(*groups).agg(F.max("__n").alias("__n"), *picks)
+    return found.select(
+        *[F.col(g).alias(k) for g, k in zip(groups, by)],
+        *[_interpolated(ordered.index(p), p).alias(f"q{i}") for i, p in enumerate(probs)],
+    )
+
+
+def _position(p: float) -> Column:
+    return (F.col("__n") - 1) * F.lit(float(p))
 
-    # The sketch is off by at most n / accuracy ranks; twice that brackets the rank.
-    margin = 2.0 / accuracy
+
+def _rank(p: float) -> Column:
+    return F.floor(_position(p))
+
+
+def _interpolated(i: int, p: float) -> Column:
+    a, b = F.col(f"__a{i}"), F.col(f"__b{i}")
+    part = _position(p) - _rank(p)
+    return F.when(a == b, a).otherwise(a * (1 - part) + b * part)
+
+
+def _with_brackets(data, groups, probs, few_groups) -> DataFrame:
+    """Every row with the size (``__n``) and the brackets (``__edges``) of its group."""
+    margin = 2.0 / ACCURACY
     edges = [e for p in probs for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
     brackets = (
-        data.groupBy(*groups)
+        data.coalesce(SKETCH_TASKS)
+        .groupBy(*groups)
         .agg(
             F.count("*").alias("__n"),
-            F.percentile_approx("__v", edges, accuracy).alias("__edges"),
+            F.percentile_approx("__v", edges, ACCURACY).alias("__edges"),
         )
         .select(*[F.col(g).alias(g + "b") for g in groups], "__n", "__edges")
     )
     same_group = reduce(and_, [F.col(g).eqNullSafe(F.col(g + "b")) for g in groups])
     if few_groups:
-        data = data.join(F.broadcast(brackets), same_group)
-    else:
-        data = _join_brackets(data, brackets, same_group)
-
-    v, low, high = F.col("__v"), [], []
-    for i in range(len(probs)):
-        low.append(F.col("__edges")[2 * i])
-        high.append(F.col("__edges")[2 * i + 1])
-    inside = reduce(or_, [v.between(a, b) for a, b in zip(low, high)])
-    gap = sum((F.when(v > b, 1).otherwise(0) for b in high), F.lit(0))
-    counted = (
-        data.groupBy(
+        return data.join(F.broadcast(brackets), same_group)
+    # Fewer than HOT_SHARES groups can hold more than that share of all rows, so those are
+    # safe to broadcast, and their rows stay where they are. The others are even enough
+    # for a join by group.
+    rows = brackets.agg(F.sum("__n")).scalar()
+    is_hot = F.col("__n") * HOT_SHARES > rows
+    hot, cold = brackets.filter(is_hot), brackets.filter(~is_hot)
+    in_hot = data.join(F.broadcast(hot), same_group)
+    others = data.join(F.broadcast(hot.drop("__n", "__edges")), same_group, "left_anti")
+    return in_hot.unionAll(others.join(cold, same_group))
+
+
+def _counted(data: DataFrame, groups: Sequence[str], brackets: int) -> DataFrame:
+    """Distinct values inside the brackets, and one row per gap, with their row counts.
+
+    ``__zone`` numbers gaps (even) and brackets (odd) upwards, ``__bucket`` the buckets of a
+    bracket; both rise with the value.
+    """
+    v = F.col("__v")
+    low = [F.col("__edges")[2 * i] for i in range(brackets)]
+    high = [F.col("__edges")[2 * i + 1] for i in range(brackets)]
+    passed = reduce(lambda x, h: x + F.when(v > h, 1).otherwise(0), high, F.lit(0))
+    bucket, inside = F.lit(None), F.lit(False)
+    for a, b in reversed(list(zip(low, high))):
+        # Rounding keeps the order of values; what is not a number ends up on top.
+        share = F.when(b > a, (v - a) / (b - a)).otherwise(0.0)
+        number = F.when(F.isnan(share), BUCKETS - 1).otherwise(
+            F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1))
+        )
+        bucket = F.when(v <= b, F.when(v >= a, number.cast("int"))).otherwise(bucket)
+        inside = F.when(v <= b, v >= a).otherwise(inside)
+    return (
+        data.select(
             *groups,
             "__n",
-            F.when(~inside, gap).alias("__gap"),
+            "__v",
+            (passed * 2 + inside.cast("int")).alias("__zone"),
+            bucket.alias("__bucket"),
             F.when(inside, v).alias("__exact"),
         )
+        .groupBy(*groups, "__n", "__zone", "__bucket", "__exact")
         .agg(F.count("*").alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
     )
 
-    running = Window.partitionBy(*groups).orderBy("__lo")
-    running = running.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counted.withColumn("__end", F.sum("__c").over(running))
-
-    def at_rank(rank):
-        begin = F.col("__end") - F.col("__c")
-        here = (rank >= begin) & (rank < F.col("__end"))
-        # A gap row knows its smallest and largest value only.
-        found = (
-            F.when(F.col("__exact").isNotNull(), F.col("__exact"))
-            .when(rank == begin, F.col("__lo"))
-            .when(rank == F.col("__end") - 1, F.col("__hi"))
-            .otherwise(
-                F.raise_error(F.lit("quantile bracket missed its rank; raise accuracy")).cast(
-                    "double"
-                )
-            )
+
+def _placed(counted: DataFrame, groups: Sequence[str], ranks: Sequence[Column]) -> DataFrame:
+    """The counted rows of the buckets that hold a rank, each with its range of ranks."""
+    cell = [*groups, "__zone", "__bucket"]
+    # Ordered by value; both bounds are also what lets Spark reuse the shuffle of `counted`.
+    upwards = Window.partitionBy(*groups).orderBy("__from", "__to")
+    upwards = upwards.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = (
+        counted.groupBy(*cell)
+        .agg(
+            F.sum("__c").alias("__c"),
+            F.max("__n").alias("__n"),
+            F.min("__lo").alias("__from"),
+            F.max("__hi").alias("__to"),
         )
-        return F.max(F.when(here, found))
-
-    picks = []
-    for i, p in enumerate(probs):
-        position = (F.col("__n") - 1) * F.lit(float(p))
-        rank = F.floor(position)
-        upper = F.least(rank + 1, F.col("__n") - 1)
-        picks += [at_rank(rank).alias(f"__a{i}"), at_rank(upper).alias(f"__b{i}")]
-    ranked = placed.groupBy(*groups).agg(F.max("__n").alias("__n"), *picks)
-
-    def interpolated(i, p):
-        a, b = F.col(f"__a{i}"), F.col(f"__b{i}")
-        position = (F.col("__n") - 1) * F.lit(float(p))
-        part = position - F.floor(position)
-        return F.when(a == b, a).otherwise(a * (1 - part) + b * part).alias(f"q{i}")
-
-    return ranked.select(
-        *[F.col(g).alias(k) for g, k in zip(groups, by)],
-        *[interpolated(i, p) for i, p in enumerate(probs)],
+        .withColumn("__end", F.sum("__c").over(upwards))
+        .withColumn("__begin", F.col("__end") - F.col("__c"))
+    )
+    holds_rank = F.lit(False)
+    for rank in ranks:
+        holds_rank = holds_rank | ((rank >= F.col("__begin")) & (rank < F.col("__end")))
+    wanted = cells.filter(holds_rank).select(
+        *[F.col(name).alias(name + "w") for name in cell], "__begin"
+    )
+    same_cell = reduce(and_, [F.col(n).eqNullSafe(F.col(n + "w")) for n in cell])
+    within = Window.partitionBy(*cell).orderBy("__lo")
+    within = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        counted.join(wanted, same_cell)
+        .withColumn("__end", F.col("__begin") + F.sum("__c").over(within))
+        .withColumn("__begin", F.col("__end") - F.col("__c"))
     )
 
 
-def _join_brackets(data: DataFrame, brackets: DataFrame, same_group) -> DataFrame:
-    """Give every row the brackets of its group without bringing a large group together.
-
-    Fewer than ``HOT_SHARES`` groups can hold more than that share of all rows, so those
-    are safe to broadcast, and their rows stay where they are. The others are even enough
-    for a join by group.
-    """
-    rows = brackets.agg(F.sum("__n")).scalar()
-    is_hot = F.col("__n") * HOT_SHARES > rows
-    hot, cold = brackets.filter(is_hot), brackets.filter(~is_hot)
-    in_hot = data.join(F.broadcast(hot), same_group)
-    others = data.join(F.broadcast(hot.drop("__n", "__edges")), same_group, "left_anti")
-    return in_hot.unionAll(others.join(cold, same_group))
+def _value_at(rank: Column) -> Column:
+    """Aggregate: the value at a rank. A gap knows its smallest and largest value only."""
+    begin, end = F.col("__begin"), F.col("__end")
+    missed = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
+    value = (
+        F.when(F.col("__exact").isNotNull(), F.col("__exact"))
+        .when(rank == begin, F.col("__lo"))
+        .when(rank == end - 1, F.col("__hi"))
+        .otherwise(missed)
+    )
+    return F.max(F.when((rank >= begin) & (rank < end), value))

@@ -37,19 +37,21 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether Spark's own size estimate lets it broadcast this table.
+def estimated_bytes(df: DataFrame) -> float:
+    """Spark's own size estimate of a table; infinite where there is none.
 
-    The estimate comes from file sizes and rises through joins, so it errs on the side of
-    "no". Without one (a remote session) the answer is "no" too.
+    It comes from file sizes and rises through joins, so it errs on the high side.
     """
-    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    limit = _bytes(limit)
     try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except (AttributeError, ValueError):
-        return False
-    return 0 <= size <= limit
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except (AttributeError, ValueError):  # a remote session has no plan to ask
+        return float("inf")
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether Spark, going by its estimate, would broadcast this table."""
+    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    return estimated_bytes(df) <= _bytes(limit)
 
 
 def _bytes(text: str) -> int:

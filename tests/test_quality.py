@@ -28,11 +28,11 @@ def column(df, name):
     return [row[name] for row in df.collect()]
 
 
-def _check_quantiles(spark, frame, probs, **options):
+def _check_quantiles(spark, frame, probs):
     missing = lambda x, kind: None if pd.isna(x) else kind(x)
     rows = [(missing(g, int), missing(v, float)) for g, v in frame.itertuples(index=False)]
     df = spark.createDataFrame(rows, "g int, v double")
-    got = {r["g"]: tuple(r)[1:] for r in exact_quantiles(df, ["g"], "v", probs, **options).collect()}
+    got = {r["g"]: tuple(r)[1:] for r in exact_quantiles(df, ["g"], "v", probs).collect()}
     want = frame.dropna(subset=["v"]).groupby("g", dropna=False)["v"]
     assert len(got) == want.ngroups
     for key, values in want:
@@ -41,7 +41,7 @@ def _check_quantiles(spark, frame, probs, **options):
         assert np.allclose(got[key], expected, rtol=1e-12, atol=1e-12), (key, got[key], expected)
 
 
-@settings(max_examples=8, deadline=None)
+@settings(max_examples=6, deadline=None)
 @given(
     st.lists(
         st.tuples(st.integers(0, 3), st.one_of(st.none(), st.integers(-5, 5))),
@@ -55,20 +55,38 @@ def test_quantiles_of_small_groups(spark, pairs):
         _check_quantiles(spark, frame, [0.0, 0.25, 0.5, 0.75, 1.0])
 
 
-@pytest.mark.parametrize("accuracy", [200, 10_000])
-@pytest.mark.parametrize("kind", ["spread", "ties", "heavy tail"])
-def test_quantiles_with_a_hot_group(spark, kind, accuracy):
+def test_small_and_large_tables_agree(spark, data, monkeypatch):
+    lines = spark.read.parquet(f"{data}/lineitem.parquet")
+    answers = []
+    for limit in (0, 64 << 20):
+        monkeypatch.setattr(quantiles, "SMALL_TABLE_BYTES", limit)
+        out = exact_quantiles(lines, ["l_returnflag"], "l_extendedprice", [0.5, 0.9])
+        used = "percentile(" in out._jdf.queryExecution().executedPlan().toString()
+        assert used == (limit > 0)
+        answers.append(sorted(tuple(r) for r in out.collect()))
+    for small, large in zip(*answers):
+        assert small[0] == large[0] and np.allclose(small[1:], large[1:], rtol=1e-12)
+
+
+@pytest.mark.parametrize("accuracy, buckets", [(100, 7), (1000, 4096)])
+@pytest.mark.parametrize("kind", ["spread", "ties", "heavy tail", "infinite", "huge"])
+def test_quantiles_with_a_hot_group(spark, kind, accuracy, buckets, monkeypatch):
     """A third of the rows in one group; a coarse sketch, so that brackets are really used."""
+    monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+    monkeypatch.setattr(quantiles, "BUCKETS", buckets)
     rng = np.random.default_rng(5)
     n = 60_000
     values = {
         "spread": rng.normal(size=n),
         "ties": rng.integers(0, 4, size=n).astype(float),
         "heavy tail": np.exp(rng.normal(size=n) * 8),
+        "infinite": rng.choice([-np.inf, -1.0, 0.0, 3.0, np.inf], size=n),
+        "huge": rng.choice([-1.7e308, -1.0, 2.0, 1.7e308], size=n),
     }[kind]
     groups = np.where(np.arange(n) % 3 == 0, 0, rng.integers(1, 50, size=n))
     frame = pd.DataFrame({"g": groups, "v": values})
-    _check_quantiles(spark, frame, [0.25, 0.5, 0.75], accuracy=accuracy)
+    probs = [0.5] if kind in ("infinite", "huge") else [0.75, 0.25, 0.5]
+    _check_quantiles(spark, frame, probs)
 
 
 @pytest.mark.parametrize("shares", [1, 20, 10**9])
