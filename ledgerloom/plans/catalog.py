@@ -827,6 +827,70 @@ def currency_symbol_shares(t):
     )
 
 
+# Documents, pages and conversations
+
+
+@query("""SELECT doc_id, lower(text) AS text FROM documents""")
+def lowercase_documents(t):
+    return clean.lowercase_text(t.documents, ["text"]).select("doc_id", "text")
+
+
+@query(
+    """SELECT page_id, regexp_extract(url, '^([^/]*)/+([^/]*)/*(.*)$', 1) AS scheme,
+              regexp_extract(url, '^([^/]*)/+([^/]*)/*(.*)$', 2) AS host,
+              CASE WHEN regexp_matches(url, '^[^/]*/+[^/]*/') THEN
+                   trim(regexp_extract(url, '^([^/]*)/+([^/]*)/*(.*)$', 3)) END AS rest
+       FROM pages"""
+)
+def split_urls(t):
+    out = clean.split_field(t.pages, "url", ["scheme", "host", "rest"], "/+", maxsplit=2)
+    return out.select("page_id", "scheme", "host", "rest")
+
+
+@query(
+    """SELECT 'url' AS col, count(*) FILTER (ok) AS passed, count(*) FILTER (NOT ok) AS failed
+       FROM (SELECT regexp_full_match(url, 'https://[a-z0-9.]+/[a-z]{2}/[0-9]+(\\?.*)?') AS ok
+             FROM pages)"""
+)
+def validate_urls(t):
+    rules = [{"column": "url", "pattern": r"https://[a-z0-9.]+/[a-z]{2}/[0-9]+(\?.*)?"}]
+    return validate_rules(t.pages, rules).select(F.col("column").alias("col"), "passed", "failed")
+
+
+@query(
+    """SELECT conv_id, arg_min(text, turn) AS text_first, arg_max(text, turn) AS text_last,
+              count(*) AS turn_size FROM conversations GROUP BY 1"""
+)
+def conversation_ends(t):
+    aggs = {"text": ["first", "last"], "turn": ["size"]}
+    return group_by_aggregate(t.conversations, ["conv_id"], aggs, order_by=["turn"])
+
+
+@query("""SELECT conv_id, turn, role || ': ' || text AS line FROM conversations""")
+def merge_conversation_lines(t):
+    out = clean.merge_columns(t.conversations, ["role", "text"], "line", ": ")
+    return out.select("conv_id", "turn", "line")
+
+
+@query(
+    """SELECT lang, quality, count(*) AS doc_id_size, sum(n_chars)::BIGINT AS n_chars_sum,
+              max(n_chars) AS n_chars_max
+       FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1, 2"""
+)
+def labelled_documents(t):
+    recipe = [
+        {"type": "joinWithFile", "config": {"key": "doc_id"}},
+        {
+            "type": "groupByAggregate",
+            "config": {
+                "by": ["lang", "quality"],
+                "aggs": {"doc_id": ["size"], "n_chars": ["sum", "max"]},
+            },
+        },
+    ]
+    return run_recipe(t.documents, recipe, join_table=t.labels).df
+
+
 # Recipes
 
 
