@@ -89,11 +89,13 @@ def _histogram(df: DataFrame) -> DataFrame:
 
 def _top_values(df: DataFrame, histogram: DataFrame) -> DataFrame:
     """(column, top): the most frequent values with counts, ties in text order."""
-    best = Window.partitionBy("column").orderBy(F.desc("n"), "key")
+    # NULL is ranked last and dropped afterwards: a filter before would be pushed into the
+    # scan, and the histogram's shuffle could not be shared with the counts.
+    best = Window.partitionBy("column").orderBy(F.isnull("key"), F.desc("n"), "key")
     top = (
-        histogram.filter("key IS NOT NULL")
-        .withColumn("rank", F.row_number().over(best))
+        histogram.withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= TOP_VALUES)
+        .filter("key IS NOT NULL")
         .select("column", "key", "digest", "n", "rank")
     )
     shown = top.withColumn("value", F.col("key"))
@@ -213,14 +215,20 @@ def currency_shares(df: DataFrame, rows: int | None = None) -> DataFrame:
     All rows count unless ``rows`` limits the look to the head of the table.
     """
     names = visible(df)
-    cells = df.select(*[as_text(df, n).alias(n) for n in names])
+    cells = df.select(*[as_text(df, n).alias(f"v{i}") for i, n in enumerate(names)])
     if rows is not None:
         cells = cells.limit(rows)
-    long = cells.unpivot([], [c(n) for n in names], "column", "value").filter("value IS NOT NULL")
-    rates = [
-        F.avg(F.contains("value", F.lit(symbol)).cast("double")) for symbol in CURRENCY_SYMBOLS
+
+    def share(text: str) -> Column:
+        # NULL holds nothing and is left out of the average.
+        holds = [F.contains(text, F.lit(symbol)).cast("double") for symbol in CURRENCY_SYMBOLS]
+        return F.greatest(*[F.avg(hit) for hit in holds])
+
+    shares = [
+        F.struct(F.lit(n).alias("column"), share(f"v{i}").alias("share"))
+        for i, n in enumerate(names)
     ]
-    return long.groupBy("column").agg(F.greatest(*rates).alias("share"))
+    return cells.agg(F.array(*shares).alias("rows")).select(F.inline("rows"))
 
 
 def detect_currency_columns(df: DataFrame, rows: int | None = 30) -> list[str]:

@@ -10,6 +10,7 @@ from ledgerloom import (
     join_tables,
     pl_by_period,
     preview,
+    profile,
     run_recipe,
 )
 from ledgerloom.operators import quantiles
@@ -100,6 +101,13 @@ def test_quantiles_never_collect_a_group(t, monkeypatch):
     assert "ReusedExchange" in plan(df)
 
 
+def test_profile_shares_one_histogram(t):
+    df = profile(t.orders)
+    df.collect()
+    final = plan(df).split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final and final.count("FileScan") == 2
+
+
 def test_outlier_bounds_run_once(t):
     df = detect_outliers(t.orders, ["o_totalprice"])
     df.collect()
