@@ -16,7 +16,8 @@ from ..functions.text import as_double, as_text
 from .aggregate import adjusted_skewness
 
 # Texts that look like an amount (they hold a currency symbol, or are digits
-# grouped in threes), and texts that look like an identifier.
+# grouped in threes), and texts that look like an identifier. Symbols are looked for as plain
+# text, which on long texts is much faster than as part of the pattern.
 CURRENCY_SYMBOLS = ("$", "€", "£", "₹")
 GROUPED_AMOUNT = r"^\(?-?\d{1,3}(?:[ ,]\d{3})+(?:\.\d+)?\)?$"
 ID_HIT = r"^[A-Za-z0-9\-]{6,20}$"
