@@ -19,7 +19,7 @@ import public_tokenizers
 
 PARTS = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 OTHER_BLANKS = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿]")
-REMEMBERED = 600_000  # parts of texts kept per worker process, about 120 MB
+REMEMBERED = 400_000  # parts of texts kept per worker process, about 80 MB
 PLAIN = "ɐ"  # below it the two libraries agree on letters, numbers and blanks (tested)
 
 
