@@ -106,8 +106,10 @@ def spark_pattern(pattern: str) -> str:
         else:
             out.append(two[0])
             i += 1
-    flag = "(?U)" if re.search(r"\\[wWdDsSbB]", pattern) else ""
-    return flag + "".join(out)
+    # Unicode classes as in Python; only \n ends a line for the dot and the anchors.
+    flags = "d" if re.search(r"[.^$]", pattern) else ""
+    flags += "U" if re.search(r"\\[wWdDsSbB]", pattern) else ""
+    return (f"(?{flags})" if flags else "") + "".join(out)
 
 
 def _group_name(name: str) -> str:
@@ -139,6 +141,5 @@ def spark_replacement(text: str) -> str:
 
 def full_match(text: Column, pattern: str) -> Column:
     """True where the stripped text matches as a whole; NULL and mismatch are False."""
-    body = spark_pattern(pattern)
-    flag, body = ("(?U)", body[4:]) if body.startswith("(?U)") else ("", body)
+    flag, body = re.fullmatch(r"(\(\?[dU]+\))?(.*)", spark_pattern(pattern), re.DOTALL).groups("")
     return F.coalesce(ws_trim(text).rlike(rf"{flag}\A(?:{body})\z"), F.lit(False))

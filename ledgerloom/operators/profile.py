@@ -70,9 +70,16 @@ def hit_rates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
+def _value_text(df: DataFrame, name: str) -> Column:
+    """The value as text; NaN is NULL and both zeros are one."""
+    if isinstance(dtype(df, name), (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(c(name)), c(name) + F.lit(0.0).cast(dtype(df, name))).cast("string")
+    return as_text(df, name)
+
+
 def _histogram(df: DataFrame) -> DataFrame:
     """Rows (column, key, digest, currency, n): every value of every column, counted."""
-    cells = df.select(*[as_text(df, n).alias(n) for n in df.columns])
+    cells = df.select(*[_value_text(df, n).alias(n) for n in df.columns])
     long = cells.unpivot([], [c(n) for n in df.columns], "column", "value")
     value = F.col("value")
     is_long = F.coalesce(F.length(value) > LONG_TEXT, F.lit(False))
@@ -232,8 +239,8 @@ def currency_shares(df: DataFrame, rows: int | None = None) -> DataFrame:
     return cells.agg(F.array(*shares).alias("rows")).select(F.inline("rows"))
 
 
-def detect_currency_columns(df: DataFrame, rows: int | None = 30) -> list[str]:
-    """Columns where more than 0.3 of the values at the head hold a currency symbol."""
+def detect_currency_columns(df: DataFrame, rows: int | None = None) -> list[str]:
+    """Columns where more than 0.3 of the values hold a currency symbol; ``rows`` looks at the head only."""
     found = currency_shares(df, rows).filter(F.col("share") > CURRENCY_SHARE).collect()
     hits = {row["column"] for row in found}
     return [name for name in visible(df) if name in hits]

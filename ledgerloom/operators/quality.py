@@ -28,8 +28,10 @@ def outlier_fences(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> Dat
     long = numbers.unpivot([], [f"n{i}" for i in range(len(names))], "name", "value")
     quartiles = exact_quantiles(long, ["name"], "value", [0.25, 0.75], few_groups=True)
     reach = F.lit(float(k)) * (F.col("q1") - F.col("q0"))
+    # Infinite quartiles can make a bound that is no number: then there is none on that side.
+    low, high = F.col("q0") - reach, F.col("q1") + reach
     return quartiles.select(
-        "name", (F.col("q0") - reach).alias("low"), (F.col("q1") + reach).alias("high")
+        "name", F.when(~F.isnan(low), low).alias("low"), F.when(~F.isnan(high), high).alias("high")
     )
 
 
@@ -60,7 +62,8 @@ def detect_outliers(
     marks = {}
     for i, name in enumerate(names):
         value = as_double(df, name)
-        outside = (value < bounds[f"low{i}"]) | (value > bounds[f"high{i}"])
+        no = F.lit(False)
+        outside = F.coalesce(value < bounds[f"low{i}"], no) | F.coalesce(value > bounds[f"high{i}"], no)
         marks[f"{prefix}{name}"] = F.coalesce(outside, F.lit(False))
     return df.withColumns(marks)
 
@@ -75,12 +78,11 @@ def validate_regex(
 
 def usable_rules(rules: Sequence[Mapping]) -> list[tuple[str, str]]:
     """(column, pattern) of every rule that names both; presets stand for patterns."""
-    out = []
-    for rule in rules:
-        pattern = rule.get("pattern") or PRESETS.get(rule.get("preset", ""))
-        if rule.get("column") and pattern:
-            out.append((rule["column"], pattern))
-    return out
+    unknown = {rule["preset"] for rule in rules if rule.get("preset") and not rule.get("pattern")} - set(PRESETS)
+    if unknown:
+        raise ValueError(f"unknown presets {sorted(unknown)}; there are {sorted(PRESETS)}")
+    named = [(rule.get("column"), rule.get("pattern") or PRESETS.get(rule.get("preset"))) for rule in rules]
+    return [(column, pattern) for column, pattern in named if column and pattern]
 
 
 def validate_rules(

@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import c
-from ..session import estimated_bytes
 
 # The sketch is off by at most one in ACCURACY ranks. All sketches of a group are merged in
 # one task, so they are kept small and their number is bounded by SKETCH_TASKS.
@@ -28,10 +27,6 @@ ACCURACY = 1000
 SKETCH_TASKS = 4096
 BUCKETS = 4096
 
-# Tables Spark estimates at no more than this go through its own aggregate: whatever the
-# groups are, one task can hold all the values.
-SMALL_TABLE_BYTES = 64 << 20
-
 # A group with more than one in this many rows is handled apart.
 HOT_SHARES = 1000
 
@@ -53,14 +48,6 @@ def exact_quantiles(
     data = df.select(*[c(k).alias(g) for k, g in zip(by, groups)], c(value).alias("__v"))
     data = data.filter("__v IS NOT NULL")
     ordered = sorted(set(probs))
-    if not few_groups and estimated_bytes(data) <= SMALL_TABLE_BYTES:
-        listed = F.array(*[F.lit(float(p)) for p in probs])
-        small = data.groupBy(*groups).agg(F.percentile("__v", listed).alias("__q"))
-        return small.select(
-            *[F.col(g).alias(k) for g, k in zip(groups, by)],
-            *[F.col("__q")[i].alias(f"q{i}") for i in range(len(probs))],
-        )
-
     bracketed = _with_brackets(data, groups, ordered, few_groups)
     counted = _counted(bracketed, groups, len(ordered))
     ranks = [_rank(p) + step for p in ordered for step in (0, 1)]
@@ -92,7 +79,8 @@ def _rank(p: float) -> Column:
 def _interpolated(i: int, p: float) -> Column:
     a, b = F.col(f"__a{i}"), F.col(f"__b{i}")
     part = _position(p) - _rank(p)
-    return F.when(a == b, a).otherwise(a * (1 - part) + b * part)
+    # A part of 0 times an infinite neighbour would be no number.
+    return F.when((a == b) | (part == 0), a).otherwise(a * (1 - part) + b * part)
 
 
 def _with_brackets(data, groups, probs, few_groups) -> DataFrame:

@@ -5,6 +5,7 @@ Every query reads whole tables. Those without SQL are checked by value in the te
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +29,7 @@ from ..sources.preview import preview
 from ..streaming import tables as streams
 from .audit import log_table
 from .recipe import run_recipe
-from .suggest import TITLE_STEPS, propose_recipe, suggest
+from .suggest import propose_recipe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -989,16 +990,13 @@ def recipe_audit_log(t):
 def proposed_recipe(t):
     """Steps proposed from the pattern rates and names of order lines as sales data."""
     sales = _as_sales(t)
-    rows = [(s["type"], str(s["config"]), float(s["confidence"])) for s in propose_recipe(sales)]
+    rows = [
+        (s["type"], json.dumps(s["config"], sort_keys=True), float(s["confidence"]))
+        for s in propose_recipe(sales)
+    ]
     return t.spark.createDataFrame(rows, "type string, config string, confidence double")
 
 
-@query()
-def suggested_steps(t):
-    rows = [(title, TITLE_STEPS.get(title, {}).get("type")) for title in suggest(_as_sales(t))]
-    return t.spark.createDataFrame(rows, "title string, type string")
-
-
 def _as_sales(t):
     return t.lineitem.select(
         F.format_string("ORD-%07d", F.col("l_orderkey")).alias("Order ID"),

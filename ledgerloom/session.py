@@ -29,10 +29,12 @@ def configure(spark: SparkSession) -> SparkSession:
 def work_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the cluster's shared folder (``spark.checkpoint.dir``).
 
-    A machine-local folder is used only where the cluster names none, as in tests.
+    A machine-local folder is used only where none is named and all runs on one machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="ledgerloom-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 

@@ -55,14 +55,20 @@ class _Dice:
 
 
 def _customer_id(number: Column) -> Column:
-    return F.concat(F.lit("CUST"), F.lpad(number.cast("string"), 5, "0"))
+    return F.concat(F.lit("CUST"), _padded(number, 5))
+
+
+def _padded(number: Column, digits: int) -> Column:
+    """At least ``digits`` digits; longer numbers are not cut."""
+    text = number.cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(digits)), F.lit("0"))
 
 
 def synthetic_sales(spark: SparkSession, rows: int, seed: int = 42) -> DataFrame:
     dice = _Dice(seed)
     cents = lambda col: F.round(col, 2)
     base = spark.range(1, rows + 1).select(
-        F.concat(F.lit("ORD"), F.lpad(F.col("id").cast("string"), 8, "0")).alias("Order ID"),
+        F.concat(F.lit("ORD"), _padded(F.col("id"), 8)).alias("Order ID"),
         dice.day("2023-01-01", 1096).alias("Date"),
         _customer_id(dice.integer(1, 3999)).alias("Customer ID"),
         dice.choice(PRODUCTS).alias("Product"),
@@ -88,6 +94,8 @@ def synthetic_sales(spark: SparkSession, rows: int, seed: int = 42) -> DataFrame
 
 def synthetic_customers(spark: SparkSession, rows: int = 3500, seed: int = 99) -> DataFrame:
     """``rows`` different customers out of CUST00001 .. CUST04999."""
+    if rows > 4999:
+        raise ValueError("there are 4999 customers")
     dice = _Dice(seed)
     picked = spark.range(1, 5000).orderBy(dice.unit(), "id").limit(rows)
     return picked.select(

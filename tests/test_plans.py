@@ -94,7 +94,6 @@ def test_one_sort_for_a_recipe(t):
 
 
 def test_quantiles_never_collect_a_group(t, monkeypatch):
-    monkeypatch.setattr(quantiles, "SMALL_TABLE_BYTES", 0)
     df = group_by_aggregate(t.orders, ["o_orderstatus"], {"o_totalprice": "median"})
     assert "percentile(" not in plan(df) and "partial_percentile_approx" in plan(df)
     df.collect()

@@ -55,17 +55,40 @@ def test_quantiles_of_small_groups(spark, pairs):
         _check_quantiles(spark, frame, [0.0, 0.25, 0.5, 0.75, 1.0])
 
 
-def test_small_and_large_tables_agree(spark, data, monkeypatch):
+def test_group_median_equals_percentile(spark, data):
+    from pyspark.sql import functions as F
+
     lines = spark.read.parquet(f"{data}/lineitem.parquet")
-    answers = []
-    for limit in (0, 64 << 20):
-        monkeypatch.setattr(quantiles, "SMALL_TABLE_BYTES", limit)
-        out = exact_quantiles(lines, ["l_returnflag"], "l_extendedprice", [0.5, 0.9])
-        used = "percentile(" in out._jdf.queryExecution().executedPlan().toString()
-        assert used == (limit > 0)
-        answers.append(sorted(tuple(r) for r in out.collect()))
-    for small, large in zip(*answers):
-        assert small[0] == large[0] and np.allclose(small[1:], large[1:], rtol=1e-12)
+    got = quantiles.exact_quantiles(lines, ["l_suppkey"], "l_extendedprice", [0.5]).collect()
+    want = lines.groupBy("l_suppkey").agg(F.percentile("l_extendedprice", 0.5).alias("q0")).collect()
+    assert {r[0]: round(r[1], 6) for r in got} == {r[0]: round(r[1], 6) for r in want}
+
+
+def test_infinite_values(table):
+    from ledgerloom.operators.quality import detect_outliers
+
+    inf = float("inf")
+    df = table("g string, v double", *[("a", x) for x in (1.0, 2.0, inf)])
+    assert quantiles.exact_quantiles(df, ["g"], "v", [0.5]).collect()[0]["q0"] == 2.0
+    df = table("v double", 1.0, 2.0, 3.0, 4.0, inf)
+    flags = {r["v"]: r["Outlier_v"] for r in detect_outliers(df, ["v"]).collect()}
+    assert flags == {1.0: False, 2.0: False, 3.0: False, 4.0: False, inf: True}
+
+
+def test_unknown_preset_is_an_error(table):
+    from ledgerloom.operators.quality import validate_rules
+
+    with pytest.raises(ValueError, match="unknown presets"):
+        validate_rules(table("a string", "x"), [{"column": "a", "preset": "nothing"}])
+
+
+def test_dot_stops_at_newline_only(table):
+    from ledgerloom.operators.quality import validate_regex
+
+    df = validate_regex(table("a string", "a\rb", "a\u0085b", "a\u2028b", "a\nb", "ab"), "a", "a.?b")
+    assert {r["a"]: r["Valid_a"] for r in df.collect()} == {
+        "a\rb": True, "a\u0085b": True, "a\u2028b": True, "a\nb": False, "ab": True
+    }
 
 
 @pytest.mark.parametrize("accuracy, buckets", [(100, 7), (1000, 4096)])
