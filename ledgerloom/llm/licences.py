@@ -9,6 +9,8 @@ notices.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -81,7 +83,10 @@ def _notices(spark: SparkSession) -> DataFrame:
 
 def _ordinary(docs: DataFrame) -> DataFrame:
     """A bounded sample of paragraphs with at least three words: ``words``."""
-    picked = docs.select(text_of().alias("text")).orderBy(F.xxhash64("text"), "text").limit(ORDINARY)
+    # Only hashes are ranked; the few texts they stand for are fetched by a bounded broadcast.
+    hashed = docs.select(text_of().alias("text")).withColumn("h", F.xxhash64("text"))
+    least = hashed.select("h").orderBy("h").limit(ORDINARY).distinct()
+    picked = hashed.join(F.broadcast(least), "h", "left_semi")
     lines = picked.select(F.explode(F.split("text", "\n")).alias("line"))
     lines = lines.select(_tokens(F.col("line")).alias("words")).where(F.size("words") > 2)
     return lines.orderBy(F.xxhash64("words"), F.array_join("words", " ")).limit(ORDINARY)
@@ -160,9 +165,14 @@ class LicenceModel:
     def scan(self, docs: DataFrame) -> DataFrame:
         anchors = F.array(*[F.lit(w) for w in self.anchors])
         rows = docs.select("doc_id", text_of().alias("text"))
-        # A paragraph without any of the anchors is unknown: documents without them are not split.
-        rows = rows.where(F.arrays_overlap(_tokens(F.col("text")), anchors))
+        # A paragraph without any of the anchors is unknown. The longest plain part of each anchor
+        # is looked for first, so that few documents and lines are taken to pieces carefully.
+        plain = sorted({max(re.findall("[a-z0-9]+", w) or [""], key=len) for w in self.anchors})
+        plain = F.array(*[F.lit(w) for w in plain])
+        hint = lambda text: F.arrays_overlap(F.split(F.lower(text), "[^a-z0-9]+"), plain)
+        rows = rows.where(hint(F.col("text")))
         lines = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph_no", "paragraph"))
+        lines = lines.where(hint(F.col("paragraph")))
         lines = lines.withColumn("words", _tokens(F.col("paragraph"))).where(F.arrays_overlap("words", anchors))
         scored = self._margin(self.classifier.transform(self._features(lines)))
         chance = 1 / (1 + F.exp(-(F.lit(self.slope) * F.col("margin") + F.lit(self.offset))))
