@@ -42,8 +42,9 @@ def join_tables(
     """Join on equal keys (NULL equals NULL); the key appears once.
 
     Other columns both tables have get the suffixes. Where a side is small enough to be
-    broadcast, Spark joins without a shuffle. Otherwise an outer join is an inner join,
-    whose skewed partitions AQE splits on both sides, plus the rows without a partner.
+    broadcast, Spark joins without a shuffle. A full outer join, which AQE cannot split, is a
+    left join, whose skewed partitions it splits on the left, plus the right rows without a
+    partner, found by their keys alone.
     """
     if how not in JOIN_TYPES:
         raise ValueError(f"how must be one of {JOIN_TYPES}, not {how!r}")
@@ -75,16 +76,12 @@ def _join(left, right, keys, how, suffixes, left_keys) -> DataFrame:
         alone = b.join(left_keys.distinct(), equal, "left_anti")
         return alone.select(*[F.col(t).alias(k) for k, t in tokens.items()], *right_values)
 
-    if how == "inner" or left.isStreaming:
+    if how != "outer" or left.isStreaming:
         return both(how)
-    if how in ("left", "outer") and fits_broadcast(b):
-        parts = [both("left")] + [lone_right()] * (how == "outer")
-    elif how in ("right", "outer") and fits_broadcast(a):
-        parts = [both("right")] + [lone_left()] * (how == "outer")
+    if fits_broadcast(a) and not fits_broadcast(b):
+        parts = [both("right"), lone_left()]
     else:
-        parts = [both("inner")]
-        parts += [lone_left()] * (how in ("left", "outer"))
-        parts += [lone_right()] * (how in ("right", "outer"))
+        parts = [both("left"), lone_right()]
     whole = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
     return whole.select(*[c(n) for n in both("inner").columns])
 

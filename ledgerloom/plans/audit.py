@@ -21,6 +21,21 @@ LOG_SCHEMA = (
 )
 
 
+class Entries(list):
+    """Entries of a log, and the row counts that a later action will supply."""
+
+    def __init__(self):
+        super().__init__()
+        self.pending: list[tuple[dict, str, Observation]] = []
+
+    def resolve(self) -> Entries:
+        """Fill in observed counts; call it after an action has read the whole result."""
+        for entry, field, observation in self.pending:
+            entry[field] = observation.get["rows"]
+        self.pending = []
+        return self
+
+
 class StepLog:
     """Collects one entry per step.
 
@@ -33,9 +48,8 @@ class StepLog:
         if mode not in AUDIT_MODES:
             raise ValueError(f"audit must be one of {AUDIT_MODES}, not {mode!r}")
         self.mode = mode
-        self.entries: list[dict] = []
+        self.entries = Entries()
         self._context = context
-        self._pending: list[tuple[dict, str, Observation]] = []
         self._last: Observation | int | None = None
 
     def start(self, df: DataFrame) -> DataFrame:
@@ -64,7 +78,7 @@ class StepLog:
 
     def _note(self, entry: dict, field: str) -> None:
         if isinstance(self._last, Observation):
-            self._pending.append((entry, field, self._last))
+            self.entries.pending.append((entry, field, self._last))
             entry[field] = None
         else:
             entry[field] = self._last
@@ -81,11 +95,7 @@ class StepLog:
         self.entries.append({**self._entry(index, step), "error": str(error)})
 
     def resolve(self) -> list[dict]:
-        """Fill in observed counts; call it after an action has read the whole result."""
-        for entry, field, observation in self._pending:
-            entry[field] = observation.get["rows"]
-        self._pending = []
-        return self.entries
+        return self.entries.resolve()
 
 
 def log_table(spark: SparkSession, log: Sequence[Mapping]) -> DataFrame:

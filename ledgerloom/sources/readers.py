@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +25,8 @@ MISSING_TEXTS = (
 WHOLE_NUMBER_TEXT = r"\A\s*[+-]?\d+\s*\z"
 
 SNIFF_LINES = 20
-_EXTRA = "__extra"
+SNIFF_CHARS = 1 << 16  # of each line, so that the driver never holds a long one
+_EXTRA, _FITS = "__extra", "__fits"
 _WHOLE, _NUMBER, _FLAG, _TEXT = 1, 2, 4, 8
 
 
@@ -67,11 +69,30 @@ def _text_position(df: DataFrame) -> DataFrame:
 
 
 def first_lines(spark: SparkSession, path: str, count: int = SNIFF_LINES) -> list[str]:
-    return [row[0] for row in spark.read.text(path).limit(count).collect()]
+    """The first lines; of a long one the beginning and the last character."""
+    value = F.col("value")
+    ends = F.concat(F.left(value, F.lit(SNIFF_CHARS)), F.right(value, F.lit(1)))
+    shown = F.when(F.length(value) > SNIFF_CHARS, ends).otherwise(value)
+    return [row[0] for row in spark.read.text(path).limit(count).select(shown).collect()]
+
+
+def text_traits(spark: SparkSession, path: str) -> tuple[bool, bool, bool]:
+    """Whether any line of a text file holds a NUL, bytes that are no UTF-8, an open quote."""
+    value = F.col("value")
+    quotes = F.octet_length(value) - F.octet_length(F.replace(value, F.lit('"'), F.lit("")))
+    found = spark.read.text(path).agg(
+        F.bool_or(F.contains(value, F.lit("\x00"))),
+        F.bool_or(~F.is_valid_utf8(value)),
+        F.bool_or(quotes % 2 == 1),
+    )
+    return tuple(bool(hit) for hit in found.first())
 
 
 def sniff_encoding(lines: Sequence[str]) -> str:
-    """Guess the encoding from lines decoded as UTF-8, where bad bytes show as U+FFFD."""
+    """Guess the encoding from lines decoded as UTF-8, where bad bytes show as U+FFFD.
+
+    Two-byte encodings show in the first lines; others need a look at every line.
+    """
     head = "".join(lines[:2])
     if head.startswith("\ufffd\ufffd") and "\x00" in head:
         return "UTF-16"
@@ -100,33 +121,43 @@ def read_csv(
     sep: str | None = None,
     encoding: str | None = None,
     schema: T.StructType | str | None = None,
-    bad_lines: str = "skip",
-    multi_line: bool = False,
+    bad_lines: str | None = None,
+    multi_line: bool | None = None,
     ordinal: bool = False,
 ) -> DataFrame:
     """Read CSV with a header.
 
-    Separator and encoding are detected from the first lines unless given. Without a
-    ``schema``, one pass over the data finds whole numbers, numbers and flags; everything
+    The separator is detected from the first lines unless given. Unless both ``encoding`` and
+    ``multi_line`` are given, one pass over all lines finds out whether they are UTF-8 (else
+    ISO-8859-1) and whether quoted values hold line breaks; such a file is read by one task.
+    Without a ``schema``, another pass finds whole numbers, numbers and flags; everything
     else, dates included, stays text, and the usual spellings of "missing" become NULL.
-    Large inputs should state their schema. Lines with too many fields are skipped
-    (``bad_lines="skip"``) or cut (``"cut"``); short lines are filled with NULL. NUL
-    characters seen in the first lines are removed from all text.
+    Large inputs should state all of them. NUL characters are removed from all text.
+
+    Lines with too many fields are skipped (``bad_lines="skip"``), cut (``"cut"``) or an error
+    (``"error"``); by default an error where a schema is given, else skipped. The pass that
+    finds the types counts skipped lines and warns. Short lines are filled with NULL.
     """
-    if bad_lines not in ("skip", "cut"):
-        raise ValueError(f"bad_lines must be 'skip' or 'cut', not {bad_lines!r}")
-    nul = False
+    if bad_lines not in (None, "skip", "cut", "error"):
+        raise ValueError(f"bad_lines must be 'skip', 'cut' or 'error', not {bad_lines!r}")
+    bad_lines = bad_lines or ("skip" if schema is None else "error")
     if sep is None or encoding is None:
         lines = first_lines(spark, path)
-        encoding = encoding or sniff_encoding(lines)
+        wide = sniff_encoding(lines)
+        encoding = encoding or (wide if wide.startswith("UTF-16") else None)
         sep = sep or sniff_separator(lines)
-        nul = encoding in ("UTF-8", "ISO-8859-1") and any("\x00" in line for line in lines)
+    nul = True
+    # Two-byte text is never read line by line.
+    if not (encoding or "").upper().startswith("UTF-16") and (encoding is None or multi_line is None):
+        nul, foreign, open_quote = text_traits(spark, path)
+        encoding = encoding or ("ISO-8859-1" if foreign else "UTF-8")
+        multi_line = open_quote if multi_line is None else multi_line
     reader = (
         spark.read.option("header", True)
         .option("sep", sep)
         .option("encoding", encoding)
         # Spark splits lines on single bytes; a two-byte encoding is read file by file.
-        .option("multiLine", multi_line or encoding.upper().startswith("UTF-16"))
+        .option("multiLine", bool(multi_line) or encoding.upper().startswith("UTF-16"))
         .option("escape", '"')
     )
     if isinstance(schema, str):
@@ -137,21 +168,22 @@ def read_csv(
         header = [n.replace("\x00", "").replace("\ufeff", "") for n in reader.csv(path).columns]
         fields = [T.StructField(n, T.StringType()) for n in header]
     names = [f.name for f in fields]
-    if bad_lines == "skip":
+    if bad_lines != "cut":
         fields = [*fields, T.StructField(_EXTRA, T.StringType())]
     df = reader.schema(T.StructType(fields)).csv(path)
     if ordinal:
         df = _text_position(df)
-    if bad_lines == "skip":
-        df = df.filter(F.col(_EXTRA).isNull()).drop(_EXTRA)
     if nul:
-        texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+        texts = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
         df = df.withColumns({n: F.translate(c(n), "\x00", "") for n in texts})
-    return df if schema is not None else _typed(df, names)
+    fits = F.lit(True) if bad_lines == "cut" else F.col(_EXTRA).isNull()
+    if bad_lines == "error":
+        fits = fits | F.raise_error(F.lit(f"a line of {path} has too many fields")).cast("boolean")
+    return df.filter(fits).drop(_EXTRA) if schema is not None else _typed(df, names, fits)
 
 
-def _typed(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Text columns cast to the narrowest kind that all their values have."""
+def _typed(df: DataFrame, names: Sequence[str], fits: Column) -> DataFrame:
+    """Rows that fit, their text columns cast to the narrowest kind that all values have."""
     df = df.withColumns({n: F.when(~c(n).isin(*MISSING_TEXTS), c(n)) for n in names})
 
     def kind(text: Column) -> Column:
@@ -162,7 +194,12 @@ def _typed(df: DataFrame, names: Sequence[str]) -> DataFrame:
             .when(text.isNotNull(), _TEXT)
         )
 
-    found = df.agg(*[F.bit_or(kind(c(n))).alias(f"k{i}") for i, n in enumerate(names)]).first()
+    marked = df.withColumn(_FITS, fits).drop(_EXTRA)
+    kinds_of = [F.bit_or(F.when(F.col(_FITS), kind(c(n)))) for n in names]
+    skipped, *found = marked.agg(F.count_if(~F.col(_FITS)), *kinds_of).first()
+    if skipped:
+        warnings.warn(f"{skipped} lines with too many fields were skipped", stacklevel=3)
+    df = df.filter(fits).drop(_EXTRA)
     casts = {}
     for name, kinds in zip(names, found):
         target = {_WHOLE: "bigint", _FLAG: "boolean"}.get(kinds)

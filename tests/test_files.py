@@ -20,7 +20,7 @@ from ledgerloom import (
     write_json,
 )
 from ledgerloom.functions.names import ROW_ID
-from ledgerloom.sources.readers import sniff_separator
+from ledgerloom.sources.readers import SNIFF_CHARS, first_lines, sniff_separator
 from ledgerloom.sources.synthetic import product_master, synthetic_customers, synthetic_sales
 
 
@@ -180,3 +180,37 @@ def test_generated_tables(spark):
     customers = synthetic_customers(spark)
     assert customers.count() == customers.select("Customer ID").distinct().count() == 3500
     assert product_master(spark).count() == 5
+
+
+def test_the_whole_file_decides(spark, tmp_path):
+    plain = "".join(f"{i},plain\n" for i in range(60))
+    latin = read_csv(spark, save(tmp_path, f"a,b\n{plain}60,José\n", "latin-1"))
+    assert (60, "José") in rows(latin)
+    with_nul = read_csv(spark, save(tmp_path, f"a,b\n{plain}60,x\x00y\n", name="n.csv"))
+    assert (60, "xy") in rows(with_nul)
+    # A valid replacement character is no sign of another encoding.
+    marked = read_csv(spark, save(tmp_path, f"a,b\n{plain}60,é�\n", name="m.csv"))
+    assert (60, "é�") in rows(marked)
+
+
+@pytest.mark.parametrize("schema", [None, "a bigint, b string"])
+def test_line_breaks_inside_quotes(spark, table, tmp_path, schema):
+    values = [(1, "x\ny"), (2, '"q"\r\n,'), (3, "  kept  "), (4, "plain"), (5, 'say "hi"')]
+    write_csv(table("a bigint, b string", *values).coalesce(1), str(tmp_path / "c"))
+    assert sorted(rows(read_csv(spark, str(tmp_path / "c"), schema=schema))) == values
+
+
+def test_no_line_goes_unnoticed(spark, tmp_path):
+    path = save(tmp_path, "a,b\n1,x\n2,p,extra\n")
+    with pytest.warns(UserWarning, match="1 lines"):
+        assert rows(read_csv(spark, path)) == [(1, "x")]
+    with pytest.raises(Exception, match="too many fields"):
+        rows(read_csv(spark, path, schema="a int, b string"))
+    assert rows(read_csv(spark, path, schema="a int, b string", bad_lines="skip")) == [(1, "x")]
+
+
+def test_long_lines_stay_off_the_driver(spark, tmp_path):
+    line = json.dumps({"a": "x" * 200_000})
+    path = save(tmp_path, line + "\n", name="t.json")
+    assert max(map(len, first_lines(spark, path))) == SNIFF_CHARS + 1
+    assert len(rows(read_json(spark, path))[0][0]) == 200_000
