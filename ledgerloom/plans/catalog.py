@@ -400,12 +400,12 @@ def join_null_keys(t):
 
 
 @query(
-    """SELECT c.c_nationkey AS nationkey, c.c_name AS name, s.s_name AS name_s
-       FROM customer c JOIN supplier s ON c.c_nationkey = s.s_nationkey"""
+    """SELECT c.c_nationkey AS nationkey, c.c_name AS name, n.n_name AS name_s
+       FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey"""
 )
 def join_suffixes(t):
     a = t.customer.select(F.col("c_nationkey").alias("nationkey"), F.col("c_name").alias("name"))
-    b = t.supplier.select(F.col("s_nationkey").alias("nationkey"), F.col("s_name").alias("name"))
+    b = t.nation.select(F.col("n_nationkey").alias("nationkey"), F.col("n_name").alias("name"))
     return join_tables(a, b, "nationkey", "inner", ["", "_s"])
 
 
@@ -1020,6 +1020,16 @@ def csv_round_trip(t):
     )
 
 
+@query("""SELECT doc_id, text || chr(10) || '"' || lang || '"' AS text FROM documents""")
+def csv_round_trip_documents(t):
+    """Whole texts with line breaks and quotes."""
+    path = work_path(t.spark, "documents-csv")
+    text = F.concat("text", F.lit('\n"'), "lang", F.lit('"')).alias("text")
+    docs = t.documents.select("doc_id", text)
+    writers.write_csv(docs, path)
+    return readers.read_csv(t.spark, path, schema=docs.schema)
+
+
 @query("""SELECT event_id, ts, user_id, event_type, value, props FROM events""")
 def json_round_trip(t):
     path = work_path(t.spark, "events-json")
@@ -1043,14 +1053,26 @@ def parquet_file_order(t):
        FROM lineitem GROUP BY 1"""
 )
 def export_summary(t):
+    return _exported_summary(t, "parquet")
+
+
+@query(SQL["export_summary"])
+def export_summary_csv(t):
+    """The same from an export as CSV, of rows with a text that holds a line break."""
+    return _exported_summary(t, "csv")
+
+
+def _exported_summary(t, kind):
     lines = t.lineitem.selectExpr(
-        "l_shipdate AS Date", "l_extendedprice AS Revenue", "l_quantity AS COGS"
+        "l_shipdate AS Date", "l_extendedprice AS Revenue", "l_quantity AS COGS",
+        "concat(l_returnflag, '\\n', l_linestatus) AS Note",
     )
     recipe = [{"type": "calculateNetProfit"}]
     result = run_recipe(lines, recipe)
-    paths = writers.export_bundle(result.df, work_path(t.spark, "export"), result.log)
-    summary = t.spark.read.parquet(paths["pl_summary"])
-    return summary.select(F.col("Period").alias("period"), money("Revenue", "revenue"))
+    paths = writers.export_bundle(result.df, work_path(t.spark, "export"), result.log, kind)
+    summary = readers.read_table(t.spark, paths["pl_summary"], kind=kind)
+    period = F.col("Period").cast("timestamp_ntz").alias("period")
+    return summary.select(period, money("Revenue", "revenue"))
 
 
 @query(_pl_sql("month"))

@@ -262,6 +262,21 @@ def test_export(spark, sales, tmp_path, kind):
     assert reader.format(kind).load(paths["transformation_log"]).count() == 3
 
 
+def test_export_resolves_the_log(spark, sales, tmp_path):
+    result = run_recipe(sales, SMOKE, audit="observe")
+    paths = export_bundle(result.df, str(tmp_path / "out"), result.log, "csv")
+    log = spark.read.option("header", True).option("escape", '"').csv(paths["transformation_log"])
+    assert {(r["rows_before"], r["rows_after"]) for r in log.collect()} == {("10", "10")}
+
+
+def test_text_with_line_breaks_leaves_the_summary_alone(spark, table, tmp_path):
+    df = table("Date string, Note string, Revenue double", ("2025-01-01", "a\nb", 20.0), ("2025-01-02", "c", 10.0))
+    df = run_recipe(df.selectExpr("*", "0D AS COGS"), [step("calculateNetProfit")]).df
+    paths = export_bundle(df, str(tmp_path / "out"), kind="csv")
+    summary = spark.read.option("header", True).csv(paths["pl_summary"]).collect()
+    assert [float(r["Revenue"]) for r in summary] == [30.0]
+
+
 def test_dedup_steps():
     steps = [step("a", x=1), {"type": "b"}, {"id": "2", "type": "a", "config": {"x": 1}}, step("b")]
     assert dedup_steps(steps) == [step("a", x=1), {"type": "b", "config": {}}]
