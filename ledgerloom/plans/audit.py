@@ -41,7 +41,7 @@ class StepLog:
 
     ``off`` records no row counts and costs nothing. ``observe`` attaches counters that
     fill in during the user's own full action; it keeps filters from being pushed below
-    them. ``count`` runs one job per step.
+    them, and a final sort gets a shuffle in front. ``count`` runs one job per step.
     """
 
     def __init__(self, mode: str, context: Mapping):

@@ -399,7 +399,8 @@ def run_recipe(
         keys = state.sorted_by.columns()
         if ROW_ID not in out.columns:
             keys += tie_breakers(out.drop(SORT_KEY))
-        ordered = out.orderBy(*keys)
+        # A sort first samples its input; behind a shuffle, observed rows are counted once.
+        ordered = (out.hint("rebalance") if audit == "observe" else out).orderBy(*keys)
     return RecipeResult(drop_hidden(ordered), log.entries, out, state.order, log)
 
 
