@@ -148,8 +148,11 @@ class LicenceModel:
 
     def _features(self, rows: DataFrame) -> DataFrame:
         """Sparse n-gram vectors; n-grams of no notice carry no weight and are left out."""
+        return self.hashing.transform(self._known_grams(rows))
+
+    def _known_grams(self, rows: DataFrame) -> DataFrame:
         known = F.array(*[F.lit(g) for g in self.grams])
-        return self.hashing.transform(rows.withColumn("features_in", F.array_intersect(_grams(F.col("words")), known)))
+        return rows.withColumn("features_in", F.array_intersect(_grams(F.col("words")), known))
 
     def _margin(self, scored: DataFrame) -> DataFrame:
         """Log odds of the best family against the unknown class, and that family."""
@@ -174,7 +177,10 @@ class LicenceModel:
         lines = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph_no", "paragraph"))
         lines = lines.where(hint(F.col("paragraph")))
         lines = lines.withColumn("words", _tokens(F.col("paragraph"))).where(F.arrays_overlap("words", anchors))
-        scored = self._margin(self.classifier.transform(self._features(lines)))
+        # Written, for the filter on the probability would be pushed below the n-grams and take the
+        # paragraph to pieces again for each of its words.
+        lines = staged(self._known_grams(lines), "licence-lines")
+        scored = self._margin(self.classifier.transform(self.hashing.transform(lines)))
         chance = 1 / (1 + F.exp(-(F.lit(self.slope) * F.col("margin") + F.lit(self.offset))))
         scored = scored.withColumn("probability", F.round(chance, 6)).where(F.col("probability") >= LEAST_PROBABILITY)
         scored = scored.select("doc_id", "paragraph_no", "paragraph", "words", "family", "probability")
