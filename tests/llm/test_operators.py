@@ -272,7 +272,10 @@ def test_quality_takes_any_row(docs):
 
 def test_licences(spark, docs, empty):
     lines = ["Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "The licence of the poet was spoken of in the town."]
-    extra = spark.createDataFrame([(100 + i, f"first line\n{t}\nlast") for i, t in enumerate(lines)], "doc_id bigint, text string")
+    rows = [(100 + i, f"first line\n{t}\nlast") for i, t in enumerate(lines)]
+    # One very long line with a licence word: work must grow with its words, not their square.
+    rows.append((103, " ".join([LONG, "license", LONG])))
+    extra = spark.createDataFrame(rows, "doc_id bigint, text string")
     table = docs.select("doc_id", "text").unionByName(extra)
     found = licences.scan_licences(table).where("confirmed").select("doc_id", "paragraph_no", "family").collect()
     assert sorted(map(tuple, found)) == [(100, 1, "MIT"), (101, 1, "CC-BY-NC")]
