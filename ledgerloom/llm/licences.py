@@ -49,6 +49,12 @@ UNKNOWN = "unknown"
 BUCKETS = 1 << 14
 ORDINARY = 2000  # ordinary paragraphs used for fitting at most, by hash
 VARIANTS = 60  # damaged copies of each notice
+# Everyday words of the notices. All others are anchors: no notice has half of its word pairs without one.
+EVERYDAY = frozenset(
+    "a all and any are as at be by can charge code deal either except extent file files following forms general has in is"
+    " it law may met no not of or part person possible provided related that the this to under universal use v version with"
+    " without work you your".split()
+)
 LEAST_PROBABILITY = 0.5
 LEAST_OVERLAP = 0.5  # share of a notice's word pairs that confirms a prediction
 GRAMS = 3
@@ -62,14 +68,16 @@ def _tokens(text: Column) -> Column:
 
 def _grams(words: Column, longest: int = GRAMS) -> Column:
     """Distinct n-grams of one to ``longest`` words."""
-    every = [words]
-    for n in range(2, longest + 1):
-        # element_at of a slice never reaches beyond the array: the sequence ends in time
+
+    def of(n: int) -> Column:
+        # element_at of a slice never reaches beyond the array: the sequence ends in time. The function
+        # takes one argument only: Spark passes the index as a second one, default or not.
         grams = F.transform(
-            F.sequence(F.lit(1), F.size(words) - (n - 1)),
-            lambda i, n=n: F.array_join(F.slice(words, i, n), " "),
+            F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " ")
         )
-        every.append(F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>")))
+        return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    every = [words, *[of(n) for n in range(2, longest + 1)]]
     return F.array_distinct(F.concat(*every))
 
 
@@ -89,7 +97,13 @@ def _ordinary(docs: DataFrame) -> DataFrame:
     picked = hashed.join(F.broadcast(least), "h", "left_semi")
     lines = picked.select(F.explode(F.split("text", "\n")).alias("line"))
     lines = lines.select(_tokens(F.col("line")).alias("words")).where(F.size("words") > 2)
-    return lines.orderBy(F.xxhash64("words"), F.array_join("words", " ")).limit(ORDINARY)
+    # Distinct, so that a line repeated throughout the table is one example.
+    return lines.distinct().orderBy(F.xxhash64("words"), F.array_join("words", " ")).limit(ORDINARY)
+
+
+def _overlap(own: Column, templates: Column) -> Column:
+    """The largest share of a template's word pairs that ``own`` holds."""
+    return F.array_max(F.transform(templates, lambda t: F.size(F.array_intersect(t, own)) / F.size(t)))
 
 
 def _examples(notices: DataFrame, ordinary: DataFrame) -> DataFrame:
@@ -115,21 +129,21 @@ class LicenceModel:
     def __init__(self, docs: DataFrame):
         spark = docs.sparkSession
         self.notices = _notices(spark)
-        known = self.notices.select("words", "grams").collect()  # the fixed notices above
+        known = self.notices.select("words", "pairs", "grams").collect()  # the fixed notices above
         self.grams = sorted({g for row in known for g in row["grams"]})
         words = sorted({w for row in known for w in row["words"]})
-        ordinary = staged(_ordinary(docs), "ordinary-paragraphs")
-        common = ordinary.select(F.explode("words").alias("w")).where(F.col("w").isin(words)).distinct()
-        usual = {row["w"] for row in common.collect()}  # at most the words of the notices
-        # Where the ordinary sample holds notices itself, their words are usual only if frequent.
-        counts = ordinary.select(F.explode(F.array_distinct("words")).alias("w")).where(F.col("w").isin(words))
-        frequent = {r["w"] for r in counts.groupBy("w").count().where(F.col("count") > ORDINARY // 50).collect()}
-        self.anchors = [w for w in words if w not in (usual & frequent) and len(w) > 2 and not w[0].isdigit()]
+        # Written with its pairs, which a filter would make anew for each template.
+        ordinary = staged(_ordinary(docs).withColumn("own", _grams(F.col("words"), 2)), "ordinary-paragraphs")
+        # The notices alone decide which paragraphs are scored, however frequent their words are in the table.
+        self.anchors = [w for w in words if w not in EVERYDAY and not w[0].isdigit()]
         self.families = sorted({family for family, _ in NOTICES})
         self.hashing = HashingTF(inputCol="features_in", outputCol="features", numFeatures=BUCKETS, binary=True)
-        # Ordinary paragraphs with several anchors may be notices: they would teach the wrong class.
+        # Ordinary paragraphs with several anchors or much of a notice may be notices: they would teach the
+        # wrong class.
         anchors = F.array(*[F.lit(w) for w in self.anchors])
+        templates = F.array(*[F.array(*[F.lit(g) for g in row["pairs"]]) for row in known])
         clean = ordinary.where(F.size(F.array_intersect("words", anchors)) < 2)
+        clean = clean.where(_overlap(F.col("own"), templates) < LEAST_OVERLAP)
         examples = staged(self._features(_examples(self.notices, clean)), "licence-examples")
         number = F.coalesce(
             F.element_at(F.create_map(*[x for i, f in enumerate(self.families) for x in (F.lit(f), F.lit(i + 1.0))]), F.col("family")),
@@ -170,7 +184,8 @@ class LicenceModel:
         rows = docs.select("doc_id", text_of().alias("text"))
         # A paragraph without any of the anchors is unknown. The longest plain part of each anchor
         # is looked for first, so that few documents and lines are taken to pieces carefully.
-        plain = sorted({max(re.findall("[a-z0-9]+", w) or [""], key=len) for w in self.anchors})
+        part = lambda w: max(re.findall("[a-z0-9]+", w), key=lambda x: (x not in EVERYDAY, len(x)))
+        plain = sorted({part(w) for w in self.anchors})
         plain = F.array(*[F.lit(w) for w in plain])
         hint = lambda text: F.arrays_overlap(F.split(F.lower(text), "[^a-z0-9]+"), plain)
         rows = rows.where(hint(F.col("text")))
@@ -187,13 +202,10 @@ class LicenceModel:
         # One array of word pairs per notice, grouped by family: as many rows as NOTICES has families.
         templates = self.notices.groupBy("family").agg(F.collect_list("pairs").alias("templates"))
         pairs = _grams(F.col("words"), 2)
-        overlap = F.array_max(
-            F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("own"))) / F.size(t))
-        )
         return (
             scored.withColumn("own", pairs)
             .join(F.broadcast(templates), "family")
-            .withColumn("overlap", F.round(overlap, 6))
+            .withColumn("overlap", F.round(_overlap(F.col("own"), F.col("templates")), 6))
             .select(
                 "doc_id",
                 F.col("paragraph_no").cast("long").alias("paragraph_no"),

@@ -282,6 +282,23 @@ def test_licences(spark, docs, empty):
     assert licences.scan_licences(empty).count() == 0
 
 
+def test_frequent_licences_are_scored(spark):
+    footers = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0."]
+    prose = lambda i: " ".join(WORDS[(i * k + k) % 19] + str(i % 7) for k in range(1, 9))
+    rows = [(i, f"{prose(i)}\n{footers[i % 2]}" if i % 3 else f"{prose(i)}\n{prose(i + 1)}") for i in range(900)]
+    found = licences.scan_licences(spark.createDataFrame(rows, "doc_id bigint, text string")).where("confirmed")
+    expected = Counter((i, 1, ["MIT", "Apache-2.0"][i % 2]) for i in range(900) if i % 3)
+    assert Counter(map(tuple, found.select("doc_id", "paragraph_no", "family").collect())) == expected
+
+
+def test_no_notice_can_be_confirmed_without_an_anchor(spark):
+    for notice in licences._notices(spark).collect():
+        assert notice["pairs"] == list(dict.fromkeys(map(" ".join, zip(notice["words"], notice["words"][1:]))))
+        everyday = lambda w: w in licences.EVERYDAY or w[0].isdigit()
+        plain = [p for p in notice["pairs"] if all(map(everyday, p.split()))]
+        assert len(plain) < licences.LEAST_OVERLAP * len(notice["pairs"]), notice
+
+
 def test_shards_fit_and_lose_nothing(spark, docs, empty):
     many = spark.range(400).select(F.lit(7).cast("long").alias("doc_id"), F.repeat(F.lit("ab"), 50).alias("text"))
     for table, limit in ((docs, 3000), (many, 1000), (docs, 1 << 20)):
