@@ -29,9 +29,9 @@ DAYS = datetime.date(2100, 1, 1).toordinal() - FIRST_DAY
 PATTERN = re.compile(
     r"""(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
     |(?P<aws>(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9]))
-    |(?P<secret>(?<![A-Za-z0-9])(?:password|passwd|secret|token|api_key)\ ?[=:]\ ?["']?(?P<value>[A-Za-z0-9]{12,})(?![A-Za-z0-9]))
+    |(?P<secret>(?<![A-Za-z0-9])(?i:password|passwd|secret|token|api_key)\ ?[=:]\ ?["']?(?P<value>[A-Za-z0-9]{12,})(?![A-Za-z0-9]))
     |(?P<phone>(?<![\w+])\+1[ -]\(?(?P<area>[2-9]\d\d)\)?[ -]?(?P<exchange>[2-9]\d\d)[ -]?(?P<line>\d{4})(?!\d)
-      |(?<![\w+])\+(?!1\D)\d{1,3}(?:[ -]?\(?\d{1,4}\)?){2,5}(?![\w-]))
+      |(?<![\w+])\+\d{1,3}(?:[ -]?\(?\d{1,4}\)?){2,5}(?![\w-]))
     |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d\d(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
     |(?P<date>(?<![\w.,/-])(?:\d{4}-\d\d-\d\d|\d{4}/\d\d/\d\d|\d\d[./]\d\d[./]\d{4})(?![\w/-]))
     |(?P<ssn>(?<![\w.-])\d{3}-\d\d-\d{4}(?![\w-]))
@@ -39,7 +39,7 @@ PATTERN = re.compile(
     |(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))""",
     re.VERBOSE,
 )
-HINT = re.compile(r"[0-9@]|AKIA|ASIA|password|passwd|secret|token|api_key")
+HINT = re.compile(r"[0-9@]|AKIA|ASIA|(?i:password|passwd|secret|token|api_key)")
 DIGITS, UPPER, LOWER = string.digits, string.ascii_uppercase, string.ascii_lowercase
 
 
@@ -134,18 +134,28 @@ def _secret(text: str, match: re.Match, key: bytes) -> str:
 
 def _phone(text: str, match: re.Match, key: bytes) -> str | None:
     digits = "".join(filter(str.isdigit, text))
-    if match["area"]:
-        area, exchange, line = match["area"], match["exchange"], match["line"]
-        new = _by_radix([int(area) - 200, int(exchange) - 200, int(line)], [800, 800, 10_000], key, "phone")
-        return _refill(text, f"1{new[0] + 200}{new[1] + 200}{new[2]:04d}")
     if not 8 <= len(digits) <= 15:
         return None
     country = re.match(r"\+\d+", text).group()[1:][:3]
     rest = digits[len(country) :]
+    if country == "1":
+        if len(rest) != 10:
+            return None
+        if _planned(rest):
+            new = _by_radix([int(rest[:3]) - 200, int(rest[3:6]) - 200, int(rest[6:])], [800, 800, 10_000], key, "phone")
+            return _refill(text, f"1{new[0] + 200}{new[1] + 200}{new[2]:04d}")
     new = permute(int(rest), 10 ** len(rest), key, f"phone:{country}") if rest else 0
+    # Numbers outside the plan stay outside, so that no two numbers share a pseudonym.
+    while country == "1" and _planned(f"{new:010d}"):
+        new = permute(new, 10 ** len(rest), key, f"phone:{country}")
     return _refill(text, country + (f"{new:0{len(rest)}d}" if rest else ""))
 
 
+def _planned(rest: str) -> bool:
+    """Whether area and exchange are those of the North American plan."""
+    return rest[0] >= "2" and rest[3] >= "2"
+
+
 def _iban(text: str, match: re.Match, key: bytes) -> str | None:
     plain = text.replace(" ", "")
     if not 15 <= len(plain) <= 34 or _mod97(plain[4:] + plain[:4]) != 1:
@@ -223,18 +233,66 @@ KINDS = {
 }
 
 
+# Kinds whose greedy match may take in characters of what follows, and their least length.
+SHORTER = {"phone": 9, "iban": 15, "card": 13}
+# Each kind alone, for values at a place where the first kind that matches fails its check.
+ALONE = {
+    kind: re.compile(f"(?:{part})", re.VERBOSE)
+    for kind, part in zip(KINDS, re.split(r"\n    \|(?=\(\?P<)", PATTERN.pattern), strict=True)
+}
+
+
+def _valid(text: str, match: re.Match, key: bytes) -> tuple[str, int, str] | None:
+    """Kind, length and pseudonym of the value that starts where ``match`` does: the longest of the
+    first kind whose check it passes."""
+    begin, first = match.start(), next(k for k in KINDS if match[k])
+    kinds = list(KINDS)
+    for kind in kinds[kinds.index(first) :]:
+        tried = match if kind == first else ALONE[kind].match(text, begin)
+        while tried:
+            new = KINDS[kind](tried.group(), tried, key)
+            if new is not None and not (kind == "card" and _holds_other(text, tried, key)):
+                return kind, tried.end() - begin, new
+            tried = _shorter(text, tried, kind)
+    return None
+
+
+def _holds_other(text: str, match: re.Match, key: bytes) -> bool:
+    """Whether a valid date or social security number starts behind a blank of a card number."""
+    for place in range(match.start() + 1, match.end()):
+        for kind in ("date", "ssn") if text[place - 1] == " " else ():
+            inner = ALONE[kind].match(text, place)
+            if inner and KINDS[kind](inner.group(), inner, key) is not None:
+                return True
+    return False
+
+
+def _shorter(text: str, match: re.Match, kind: str) -> re.Match | None:
+    """The next shorter match of a kind, which ends before a gap: no value ends within a run."""
+    for end in range(match.end() - 1, match.start() + SHORTER.get(kind, len(text)) - 1, -1):
+        if text[end] in " -" and text[end - 1] not in " -":
+            # Cut at the gap, so that only what comes before it can match.
+            found = ALONE[kind].fullmatch(text, match.start(), end)
+            if found:
+                return found
+    return None
+
+
 def pseudonymise(text: str, key: bytes) -> tuple[str, list[dict]]:
     """The text with its values replaced, and their places: start, length, kind."""
     if not HINT.search(text):
         return text, []
-    out, spans, end = [], [], 0
-    for match in PATTERN.finditer(text):
-        kind = next(k for k in KINDS if match[k])
-        new = KINDS[kind](match.group(), match, key)
-        if new is not None:
-            out += [text[end : match.start()], new]
-            end = match.end()
-            spans.append({"start": match.start(), "length": end - match.start(), "kind": kind})
+    out, spans, end, at = [], [], 0, 0
+    while match := PATTERN.search(text, at):
+        begin = match.start()
+        found = _valid(text, match, key)
+        if found is None:
+            at = begin + 1
+            continue
+        kind, length, new = found
+        out += [text[end:begin], new]
+        spans.append({"start": begin, "length": length, "kind": kind})
+        at = end = begin + length
     return "".join([*out, text[end:]]), spans
 
 

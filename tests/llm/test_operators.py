@@ -238,6 +238,31 @@ def test_pseudonyms_keep_format_and_links():
     assert Counter(s["kind"] for s in more) == kinds
 
 
+@pytest.mark.parametrize(
+    "text, values",
+    [
+        ("4111111111111111 123", [("4111111111111111", "card")]),
+        ("4111 1111 1111 1111 12/25", [("4111 1111 1111 1111", "card")]),
+        ("order 12345 2024-01-15", [("2024-01-15", "date")]),
+        ("7 4111111111111111", [("4111111111111111", "card")]),
+        ("BE68 5390 0754 7034 A", [("BE68 5390 0754 7034", "iban")]),
+        ("call +1 (017) 555-7713 now", [("+1 (017) 555-7713", "phone")]),
+        ("call +1 (217) 555-7713 now", [("+1 (217) 555-7713", "phone")]),
+        ("call +44 20 7946 0958 1234 5678 now", [("+44 20 7946 0958", "phone")]),
+        ("Password: abcDEF123456ghi", [("Password: abcDEF123456ghi", "secret")]),
+        ("PASSWORD=abcDEFghijklmno", [("PASSWORD=abcDEFghijklmno", "secret")]),
+        ("call +1 (017) 555-7713 12 times", [("+1 (017) 555-7713", "phone")]),
+        ("order 12340 2024-01-15", [("2024-01-15", "date")]),
+        ("order 12349 2024-01-15", [("2024-01-15", "date")]),
+        ("1234567890123", []),
+    ],
+)
+def test_failed_checks_hide_no_other_value(text, values):
+    new, spans = pii.pseudonymise(text, b"k" * 32)
+    assert [(text[s["start"] : s["start"] + s["length"]], s["kind"]) for s in spans] == values
+    assert len(new) == len(text) and all(v not in new for v, _ in values)
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 10, 97, 1000, 73_049])
 def test_permutation_is_one_to_one(size):
     assert len({pii.permute(v, size, b"k", "x") for v in range(size)}) == size
