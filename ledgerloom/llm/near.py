@@ -34,6 +34,8 @@ COLLISION = 0.17 / (1 << MANTISSA)  # that registers of unequal minima agree, se
 SLACK = 6.0  # standard errors an estimate may lie below the limit
 LIGHT = 8  # pairs per row up to which a bucket's pairs are made
 BLOCK_ITEMS = 400_000  # shingles of a block in larger buckets
+BLOCK_CELLS = 1 << 24  # comparisons of a task at a time
+BLOCK_ROWS = 4096  # rows of a block that query rows are held against at a time
 COLUMNS = 2048  # shingles multiplied at a time
 EMPTY = 0xFFFF
 
@@ -301,7 +303,25 @@ def _heavy_links(open_: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _block_links(block: pa.Table) -> pa.Table:
-    """One link from every query row to every other component that it is linked with."""
+    """Links from every query row to every other component that it is linked with.
+
+    Query rows and rows are taken in slices, so that there are about BLOCK_CELLS comparisons at a
+    time, however many short rows the block has. A slice gives one link for each query row and component.
+    """
+    query = block["query"].to_numpy()
+    left, right = np.flatnonzero(query), np.flatnonzero(~query)
+    wide = max(1, BLOCK_CELLS // max(1, min(len(right), BLOCK_ROWS)))
+    if len(left) <= wide and len(right) <= BLOCK_ROWS:
+        return _slice_links(block)
+    parts = [block.slice(0, 0).select(["node", "node"]).rename_columns(["a", "b"])]
+    for j in range(0, len(right), BLOCK_ROWS):
+        rows = block.take(pa.array(right[j : j + BLOCK_ROWS]))
+        for i in range(0, len(left), wide):
+            parts.append(_slice_links(pa.concat_tables([block.take(pa.array(left[i : i + wide])), rows])))
+    return pa.concat_tables(parts)
+
+
+def _slice_links(block: pa.Table) -> pa.Table:
     query = block["query"].to_numpy()
     sizes = block["items"].combine_chunks().value_lengths().to_numpy().astype(np.int64)
     owners = np.repeat(np.arange(len(query)), sizes)

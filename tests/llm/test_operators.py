@@ -174,6 +174,21 @@ def test_near_groups_with_a_large_group(spark, empty):
     assert near.near_groups(empty).count() == 0
 
 
+def test_short_rows_are_compared_in_slices(monkeypatch):
+    rows = [(q, f"{q}{i}".encode(), f"{i}".encode(), [i % 50 * 10 + k for k in range(6)]) for q in (True, False) for i in range(300)]
+    names = ["query", "node", "label", "items"]
+    block = near.pa.table([near.pa.array(c) for c in zip(*rows)], names=names)
+    expected = sorted(map(str, near._block_links(block).to_pylist()))
+    sizes, whole = [], near._slice_links
+    monkeypatch.setattr(near, "_slice_links", lambda b: sizes.append(np.bincount(b["query"].to_numpy(), minlength=2)) or whole(b))
+    monkeypatch.setattr(near, "BLOCK_CELLS", 6000)
+    assert sorted(map(str, near._block_links(block).to_pylist())) == expected and len(expected) == 300 * 5
+    assert len(sizes) == 15 and all(a * b <= 6000 for a, b in sizes)
+    monkeypatch.setattr(near, "BLOCK_ROWS", 100)
+    label = lambda r: (r["a"], r["b"])
+    assert set(map(label, near._block_links(block).to_pylist())) >= {tuple(r.values()) for r in whole(block).to_pylist()}
+
+
 def test_near_duplicates_are_dropped_with_all_columns(docs):
     left = near.drop_near_duplicates(docs)
     _, groups = near_truth(pairs_of(docs), near.WIDTH)
