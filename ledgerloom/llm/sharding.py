@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import staged, table, text_of
@@ -53,10 +53,10 @@ def _buckets(rows: DataFrame, low: int, high: int, limit: int) -> DataFrame:
     )
 
 
-def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES, carry: bool = False) -> DataFrame:
+def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES, carry: bool = False, size: Column | None = None) -> DataFrame:
     """``doc_id, n_bytes, shard_id, local_depth, shard_bytes, shard_rows``: one row per row of ``docs``.
 
-    ``n_bytes`` are the UTF-8 bytes of the text (NULL: 0). A shard holds at most ``limit`` bytes,
+    ``n_bytes`` are the UTF-8 bytes of the text (NULL: 0), or ``size`` where it is given. A shard holds at most ``limit`` bytes,
     unless a single row alone is larger: it has a shard to itself or shares one with empty texts.
     ``shard_id`` is a 1 bit followed by the bucket's prefix bits. A row's place follows from its
     doc_id and text; repeated rows are told apart by further bits, so that they can be split as well.
@@ -65,10 +65,11 @@ def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES, carry: bool = False
     if limit < 1:
         raise ValueError("limit must be positive")
     text = text_of()
+    measure = F.octet_length(text) if size is None else size
     spare = KEY_BITS - CONTENT_BITS
     content = F.shiftleft(F.shiftrightunsigned(F.xxhash64("doc_id", text), 64 - CONTENT_BITS), spare)
     repeat = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - spare)
-    columns = [F.col("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), content.bitwiseOR(repeat).alias("key")]
+    columns = [F.col("doc_id"), measure.cast("long").alias("n_bytes"), content.bitwiseOR(repeat).alias("key")]
     if carry:
         columns.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
     pending = staged(docs.select(*columns), "shard-rows")
@@ -109,8 +110,13 @@ def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES, carry: bool = False
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES) -> None:
-    """Writes ``docs`` as Parquet, a folder ``shard_id=…`` with one file per shard."""
-    rows = assign_shards(docs, limit, carry=True).select("shard_id", "document")
+    """Writes ``docs`` as Parquet, a folder ``shard_id=…`` with one file per shard.
+
+    All columns count towards the limit, by their length as JSON. A file's footer does not.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    size = F.octet_length(F.to_json(row, {"ignoreNullFields": "false"}))
+    rows = assign_shards(docs, limit, carry=True, size=size).select("shard_id", "document")
     rows.repartition("shard_id").write.partitionBy("shard_id").parquet(path)
 
 

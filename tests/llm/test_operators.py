@@ -363,6 +363,13 @@ def test_shards_are_written_whole(docs, spark, tmp_path):
     assert Counter(map(tuple, back.collect())) == Counter(map(tuple, docs.collect()))
 
 
+def test_written_shards_count_every_column(spark, tmp_path):
+    rows = spark.range(40).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit("n" * 500).alias("note"))
+    sharding.write_shards(rows, str(tmp_path / "wide"), 3000)
+    counts = spark.read.parquet(str(tmp_path / "wide")).groupBy("shard_id").count().collect()
+    assert sum(r["count"] for r in counts) == 40 and all(500 * r["count"] <= 3000 for r in counts)
+
+
 def test_registered_queries(spark, data):
     found = contract.queries()
     names = [n for n in found if re.match(r"op\d+_", n)]
