@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encoding, exact, licences, near, packing, pii, quality, rules, sharding, tokens
+from . import encoding, exact, licences, manifest, near, packing, pii, prefixes, quality, repeats, rules, sharding, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
@@ -21,7 +21,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         rules.op8_quality_rules,
         pii.op9_pii_pseudonyms,
         sharding.op10_sharding,
+        manifest.op11_merkle_manifest,
+        repeats.op12_suffix_array_dedup,
+        prefixes.op13_prefix_trie,
     )
 }
 
-SQL: dict[str, str] = {"op5_exact_dedup": exact.OP5_SQL}
+SQL: dict[str, str] = {
+    "op5_exact_dedup": exact.OP5_SQL,
+    "op11_merkle_manifest": manifest.OP11_SQL,
+    "op12_suffix_array_dedup": repeats.OP12_SQL,
+    "op13_prefix_trie": prefixes.OP13_SQL,
+}
