@@ -2,7 +2,7 @@
 
 Every window of ``length`` bytes belongs to its minimizer, the least hash of its k-byte strings; a stretch of
 windows with one minimizer is kept as one string. Equal windows share the minimizer, so only stretches whose
-minimizer occurs again can hold a repeat. These meet in buckets by minimizer. A bucket builds the
+minimizer occurs again can hold a repeat; whole copies of a document are put aside. The rest meet in buckets by minimizer. A bucket builds the
 run-compressed Burrows-Wheeler transform of its stretches with suffix-array samples at the run ends. The
 samples give the irreducible matches; streamed through the text they yield each position's longest match and
 where it lies (matching statistics of the text against itself), and windows matched over their whole length are
@@ -26,6 +26,7 @@ KMER = 32  # bytes hashed for a minimizer, a multiple of 8
 PIECE = 1 << 20  # bytes hashed at once
 BUCKET = 1 << 20  # bytes of stretches in a bucket, on average
 CROWD = 2048  # stretches of a minimizer that a bucket takes as they are
+WINDOWS = 1024  # of a stretch at most
 SAMPLE = 64  # one document in so many is looked at for minimizers that hold over a thousandth of the stretches
 FREQUENT = 1000
 SEPARATOR, END = 0xFF, 0xFE  # bytes that UTF-8 has not
@@ -61,19 +62,26 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - span)], values[width - span :]) if span < width else values
 
 
-def stretches(data: np.ndarray, length: int = LENGTH, kmer: int = KMER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(minimizer, first window, windows) of the stretches in ``data``, which no text boundary crosses."""
-    found = []
+def stretches(data: np.ndarray, length: int = LENGTH, kmer: int = KMER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(minimizer, first window, windows, whether it may repeat itself) of the stretches in ``data``, one text's bytes.
+
+    The windows of a stretch are all different unless the first place of its minimizer is left behind for another one.
+    """
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
     for begin in range(0, max(len(data) - length + 1, 0), PIECE):
         hashes = _hashes(data[begin : begin + PIECE + length - 1], kmer)
         least = _least(hashes, length - kmer + 1)
-        # A new one begins where the least value changes, or where its first place is left behind.
         fresh = np.ones(len(least), bool)
-        fresh[1:] = (least[1:] != least[:-1]) | (hashes[: len(least) - 1] == least[:-1])
+        fresh[1:] = least[1:] != least[:-1]
         first = np.flatnonzero(fresh)
-        found.append((least[first].view(np.int64), first + begin, np.diff(np.append(first, len(least)))))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(least) > WINDOWS:  # long ones, where a text is periodic, are cut
+            at = np.arange(len(least))
+            fresh |= (at - np.repeat(first, np.diff(np.append(first, len(least))))) % WINDOWS == 0
+            first = np.flatnonzero(fresh)
+        left = np.zeros(len(least), bool)
+        left[1:] = ~fresh[1:] & (hashes[: len(least) - 1] == least[:-1])
+        again = np.logical_or.reduceat(left, first)
+        found.append((least[first].view(np.int64), first + begin, np.diff(np.append(first, len(least))), again))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -88,7 +96,10 @@ def _texts(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 def _minimizers(batches: Iterator[pa.RecordBatch], length: int, kmer: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, found = batch["row"].to_numpy(), [stretches(data, length, kmer)[0] for data in _texts(batch)]
+        rows, found = batch["row"].to_numpy(), []
+        for data in _texts(batch):
+            mz, _, _, again = stretches(data, length, kmer)
+            found.append(np.concatenate([mz, mz[again]]))  # shared with itself
         of = np.repeat(rows, [len(x) for x in found])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, np.int64)])), pa.array(of)], names=["mz", "row"])
 
@@ -99,20 +110,23 @@ def _taken(batches: Iterator[pa.RecordBatch], length: int, kmer: int) -> Iterato
         for at in range(0, whole.num_rows, 256):
             batch = whole.slice(at, 256)
             parts: list[pa.RecordBatch] = []
-            asked, held = batch["mzs"].to_pylist(), batch["ns"].to_pylist()
+            asked, held, ties = (batch[c].to_pylist() for c in ("mzs", "ns", "tie"))
+            copies = batch["copies"].to_pylist()
             for i, data in enumerate(_texts(batch)):
-                mz, first, windows = stretches(data, length, kmer)
+                if not asked[i] or ties[i] in copies[i]:
+                    continue
+                mz, first, windows, again = stretches(data, length, kmer)
                 known, where = np.unique(np.array(asked[i], np.int64), return_index=True)
                 place = np.minimum(np.searchsorted(known, mz), len(known) - 1)
                 keep = known[place] == mz
                 counts = np.array(held[i], np.int64)[where][place[keep]]
-                mz, first, windows = mz[keep], first[keep], windows[keep]
+                mz, first, windows, again = mz[keep], first[keep], windows[keep], again[keep]
                 content = [data[a : a + n + length - 1].tobytes() for a, n in zip(first, windows)]
                 fixed = [pa.repeat(batch[c][i], len(mz)) for c in ("row", "tie", "doc_id")]
                 parts.append(
                     pa.RecordBatch.from_arrays(
-                        [pa.array(mz), pa.array(counts), *fixed, pa.array(first), pa.array(content, pa.binary())],
-                        names=["mz", "n", "row", "tie", "doc_id", "start", "content"],
+                        [pa.array(mz), pa.array(counts), *fixed, pa.array(first), pa.array(content, pa.binary()), pa.array(again)],
+                        names=["mz", "n", "row", "tie", "doc_id", "start", "content", "again"],
                     )
                 )
             yield from pa.Table.from_batches(parts).combine_chunks().to_batches() if parts else ()
@@ -134,21 +148,22 @@ class RunLengthIndex:
 def suffix_array(data: np.ndarray) -> np.ndarray:
     """Positions in the order of their suffixes, by doubling from eight bytes on. ``data`` ends with a byte found nowhere else."""
     size = len(data)
-    padded = np.concatenate([data, np.zeros(7, np.uint8)])
-    keys = _words(padded).byteswap()  # compares as the bytes do
-    width = 8
+    keys = _words(np.concatenate([data, np.zeros(7, np.uint8)])).byteswap()  # compares as the bytes do
+    order = np.argsort(keys)
+    lined, places = keys[order], np.arange(size)  # places still open, and their keys in order
+    fresh, rank, width = np.ones(size, bool), np.empty(size, np.uint64), 8
     while True:
-        order = np.argsort(keys, kind="stable")
-        lined = keys[order]
-        fresh = np.ones(size, bool)
-        fresh[1:] = lined[1:] != lined[:-1]
-        rank = np.empty(size, np.uint64)
-        rank[order] = np.cumsum(fresh).astype(np.uint64)
-        if fresh.all():
+        differ = np.append(True, lined[1:] != lined[:-1])
+        fresh[places] = differ
+        rank[order[places]] = np.maximum.accumulate(np.where(differ, places, 0)) + 1
+        places = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
+        if not len(places):
             return order
-        behind = np.zeros(size, np.uint64)
-        behind[: max(size - width, 0)] = rank[width:]
-        keys = rank * np.uint64(size + 1) + behind
+        at = order[places]
+        behind = np.where(at + width < size, rank[np.minimum(at + width, size - 1)], 0).astype(np.uint64)
+        keys = rank[at] * np.uint64(size + 1) + behind
+        again = np.argsort(keys)
+        order[places], lined = at[again], keys[again]
         width *= 2
 
 
@@ -195,8 +210,8 @@ def matching_statistics(data: np.ndarray, index: RunLengthIndex) -> tuple[np.nda
     return np.where(known, lengths[nearest] - gone, 0), np.where(known, match[nearest] + gone, 0)
 
 
-def repeated_windows(contents: list[bytes], length: int, order: np.ndarray) -> list[np.ndarray]:
-    """For each of distinct ``contents``, which of its windows occur earlier in another place.
+def repeated_windows(contents: list[bytes], length: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(content, first byte, byte behind the last) of the runs of windows in distinct ``contents`` that occur earlier.
 
     ``order`` gives each content's first window a number; a window's is larger by its distance from the first.
     """
@@ -213,38 +228,36 @@ def repeated_windows(contents: list[bytes], length: int, order: np.ndarray) -> l
         leader = ahead
     earliest = np.full(len(data), np.iinfo(np.int64).max)
     np.minimum.at(earliest, leader[at], number[at])
-    later = number[at] > earliest[leader[at]]
-    return np.split(later, np.cumsum(windows)[:-1])
-
-
-def _spans(later: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
-    """(first byte, byte behind the last) of runs of marked windows."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], later.astype(np.int8), [0]])))
-    for begin, end in zip(edges[::2], edges[1::2]):
-        yield int(begin), int(end) + length - 1
+    later = np.zeros(len(data) + 1, np.int8)
+    later[at] = number[at] > earliest[leader[at]]
+    edges = np.flatnonzero(np.diff(later, prepend=0))  # contents are apart, so no run crosses them
+    begin, end = edges[::2], edges[1::2]
+    of = np.searchsorted(begins, begin, side="right") - 1
+    return of, begin - begins[of], end - begins[of] + length - 1
 
 
 def _marked(bucket: pa.Table, length: int) -> pa.Table:
     """Spans of a bucket's stretches that occur earlier."""
     bucket = bucket.sort_by([("doc_id", "ascending"), ("tie", "ascending"), ("start", "ascending")])  # NULL last
     doc_ids, ties, starts = (bucket[c].to_pylist() for c in ("doc_id", "tie", "start"))
-    rows, minimizers, contents = (bucket[c].to_pylist() for c in ("row", "mz", "content"))
+    rows, minimizers, contents, again = (bucket[c].to_pylist() for c in ("row", "mz", "content", "again"))
     marks: list[tuple[int, int, int, int]] = []
     first: dict[bytes, int] = {}
     for i, content in enumerate(contents):
         one = first.setdefault(content, i)
         if (doc_ids[one], ties[one], starts[one]) != (doc_ids[i], ties[i], starts[i]):
             marks.append((rows[i], ties[i], starts[i], starts[i] + len(content)))
-    # A minimizer whose stretches are all alike has no more to compare.
+    # Where a minimizer's stretches are all alike and do not repeat themselves, there is no more to compare.
     alike: dict[int, list[int]] = {}
     for i in first.values():
         alike.setdefault(minimizers[i], []).append(i)
-    left = sorted(i for found in alike.values() if len(found) > 1 for i in found)
+    left = sorted(i for found in alike.values() for i in found if len(found) > 1 or again[i])
     if left:
         documents: dict[tuple, int] = {}
         order = np.array([(documents.setdefault((doc_ids[i], ties[i]), len(documents)) << 40) + starts[i] for i in left])
-        for i, later in zip(left, repeated_windows([contents[i] for i in left], length, order)):
-            marks += [(rows[i], ties[i], starts[i] + begin, starts[i] + end) for begin, end in _spans(later, length)]
+        for k, begin, end in zip(*(x.tolist() for x in repeated_windows([contents[i] for i in left], length, order))):
+            i = left[k]
+            marks.append((rows[i], ties[i], starts[i] + begin, starts[i] + end))
     columns = list(zip(*marks)) or [()] * 4
     return pa.table([pa.array(c, pa.int64()) for c in columns], names=["row", "tie", "begin", "end"])
 
@@ -258,8 +271,15 @@ def _named(docs: DataFrame) -> DataFrame:
     return texts.withColumn("row", F.xxhash64("doc_id", "tie"))
 
 
-def shared_minimizers(named: DataFrame, length: int = LENGTH, kmer: int = KMER) -> DataFrame:
-    """``row, mzs, ns``: each document's minimizers that occur twice or more, and how often."""
+def whole_copies(named: DataFrame) -> DataFrame:
+    """``row, tie, size`` of documents whose whole text is that of an earlier one; one row of each text goes on."""
+    order = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "tie", "row")
+    keyed = named.select(F.unhex(F.sha2("text", 256)).alias("name"), "row", "tie", order.alias("here"), F.octet_length("text").alias("size"))
+    return keyed.join(keyed.groupBy("name").agg(F.min("here").alias("first")), "name").where("here != first").select("row", "tie", "size")
+
+
+def shared_minimizers(named: DataFrame, copies: DataFrame, length: int = LENGTH, kmer: int = KMER) -> DataFrame:
+    """``row, mzs, ns, copies``: the minimizers of rows that occur twice or more, how often, and the rows' ties in ``copies``."""
 
     def found(of: DataFrame) -> DataFrame:
         return in_arrow(of.select("row", "text"), lambda b: _minimizers(b, length, kmer), "mz long, row long")
@@ -274,7 +294,10 @@ def shared_minimizers(named: DataFrame, length: int = LENGTH, kmer: int = KMER)
     spread = F.when(F.col("n").isNotNull(), F.col("row") % 4096).otherwise(F.lit(0))
     counted = rows.withColumn("spread", spread).withColumn("met", F.count("*").over(Window.partitionBy("mz", "spread")))
     shared = counted.withColumn("n", F.coalesce("n", "met")).where("n > 1")
-    return shared.groupBy("row").agg(F.collect_list("mz").alias("mzs"), F.collect_list("n").alias("ns"))
+    found = shared.select("row", "mz", "n", F.lit(None).cast("long").alias("copy"))
+    left_out = copies.select("row", F.lit(None).cast("long").alias("mz"), F.lit(None).cast("long").alias("n"), F.col("tie").alias("copy"))
+    lists = [F.collect_list("mz").alias("mzs"), F.collect_list("n").alias("ns"), F.collect_set("copy").alias("copies")]
+    return found.unionByName(left_out).groupBy("row").agg(*lists)
 
 
 def _first(start: Column) -> Column:
@@ -288,11 +311,9 @@ def _crowded(crowd: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     settled window by window, each combined where it lies.
     """
     named = crowd.withColumn("name", F.unhex(F.sha2("content", 256)))
-    firsts = staged(
-        named.groupBy("name", "mz").agg(F.min(_first(F.col("start"))).alias("first"), F.min_by("content", _first(F.col("start"))).alias("content"), F.min_by("row", _first(F.col("start"))).alias("row")),
-        "repeat-crowds",
-    )
     here = _first(F.col("start"))
+    carried = [F.min_by(c, here).alias(c) for c in ("content", "row", "again")]
+    firsts = staged(named.groupBy("name", "mz").agg(F.min(here).alias("first"), *carried), "repeat-crowds")
     copies = (
         named.select("name", "row", "tie", "start", here.alias("here"), F.octet_length("content").alias("size"))
         .join(firsts.select("name", "first"), "name")
@@ -300,7 +321,7 @@ def _crowded(crowd: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
         .select("row", "tie", F.col("start").alias("begin"), (F.col("start") + F.col("size")).alias("end"))
     )
     sizes = firsts.groupBy("mz").agg(F.count("*").alias("different"))
-    kept = firsts.join(sizes, "mz").select("mz", "row", "first.doc_id", "first.tie", "first.start", "content", "different")
+    kept = firsts.join(sizes, "mz").select("mz", "row", "first.doc_id", "first.tie", "first.start", "content", "again", "different")
     wide = kept.where(F.col("different") > CROWD)
     at = F.col("start") + F.col("offset")
     windows = (
@@ -321,16 +342,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> D
     if kmer % 8 or not 8 <= kmer <= length:
         raise ValueError("kmer must be a multiple of 8 and at most length")
     named = _named(docs)
-    joined = named.join(shared_minimizers(named, length, kmer), "row").select("row", "tie", "doc_id", "text", "mzs", "ns")
+    copies = staged(whole_copies(named).where(F.col("size") >= length), "repeat-copies")
+    shared = shared_minimizers(named, copies, length, kmer)
+    joined = named.join(shared, "row").select("row", "tie", "doc_id", "text", "mzs", "ns", "copies")
     kind = named.schema["doc_id"].dataType.simpleString()
-    fields = f"mz long, n long, row long, tie long, doc_id {kind}, start long, content binary"
+    fields = f"mz long, n long, row long, tie long, doc_id {kind}, start long, content binary, again boolean"
     taken = staged(in_arrow(joined, lambda b: _taken(b, length, kmer), fields), "repeat-stretches")
     marks, few = _crowded(taken.where(F.col("n") > CROWD).drop("n"), length)
     gathered = taken.where(F.col("n") <= CROWD).drop("n").unionByName(few)
     size = taken.agg(F.sum(F.octet_length("content"))).first()[0] or 0
     buckets = gathered.withColumn("bucket", F.pmod(F.xxhash64("mz"), F.lit(max(1, -(-size // BUCKET)))))
     indexed = buckets.groupBy("bucket").applyInArrow(lambda b: _marked(b, length), "row long, tie long, begin long, end long")
-    return marks.unionByName(indexed)
+    whole = copies.select("row", "tie", F.lit(0).cast("long").alias("begin"), F.col("size").cast("long").alias("end"))
+    return marks.unionByName(indexed).unionByName(whole)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
