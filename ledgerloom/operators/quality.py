@@ -26,7 +26,7 @@ def outlier_fences(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> Dat
     names = require(df, columns)
     numbers = df.select(*[as_double(df, name).alias(f"n{i}") for i, name in enumerate(names)])
     long = numbers.unpivot([], [f"n{i}" for i in range(len(names))], "name", "value")
-    quartiles = exact_quantiles(long, ["name"], "value", [0.25, 0.75], few_groups=True)
+    quartiles = exact_quantiles(long, ["name"], "value", [0.25, 0.75])
     reach = F.lit(float(k)) * (F.col("q1") - F.col("q0"))
     # Infinite quartiles can make a bound that is no number: then there is none on that side.
     low, high = F.col("q0") - reach, F.col("q1") + reach

@@ -91,12 +91,12 @@ def test_dot_stops_at_newline_only(table):
     }
 
 
-@pytest.mark.parametrize("accuracy, buckets", [(100, 7), (1000, 4096)])
+@pytest.mark.parametrize("accuracy, one_task", [(100, 10), (2048, 10**6)])
 @pytest.mark.parametrize("kind", ["spread", "ties", "heavy tail", "infinite", "huge"])
-def test_quantiles_with_a_hot_group(spark, kind, accuracy, buckets, monkeypatch):
-    """A third of the rows in one group; a coarse sketch, so that brackets are really used."""
+def test_quantiles_with_a_hot_group(spark, kind, accuracy, one_task, monkeypatch):
+    """A third of the rows in one group; a coarse sketch and small tasks, so that cells are really cut."""
     monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
-    monkeypatch.setattr(quantiles, "BUCKETS", buckets)
+    monkeypatch.setattr(quantiles, "ONE_TASK", one_task)
     rng = np.random.default_rng(5)
     n = 60_000
     values = {
@@ -116,10 +116,31 @@ def test_quantiles_with_a_hot_group(spark, kind, accuracy, buckets, monkeypatch)
 def test_quantiles_whatever_counts_as_hot(spark, shares, monkeypatch):
     """No group, some groups, and all groups handled apart."""
     monkeypatch.setattr(quantiles, "HOT_SHARES", shares)
+    monkeypatch.setattr(quantiles, "ONE_TASK", 1)
     frame = pd.DataFrame({"g": [0] * 50 + [1, 2, 2, None, None], "v": range(55)})
     _check_quantiles(spark, frame, [0.1, 0.5])
 
 
+def test_cells_are_equally_deep(spark):
+    """Half of the values in [0, 1) and half near 1e9: equal widths would put all into a few cells."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(400_000).select(
+        F.lit(1).alias("__g0"), F.when(F.col("id") % 2 == 0, F.rand(3)).otherwise(1e9 + F.rand(4)).alias("__v")
+    )
+    hot = df.groupBy("__g0").agg(F.count("*").alias("__n"))
+    ends = [F.lit(x).cast("double").alias(n) for n, x in (("__low", "-inf"), ("__high", "inf"))]
+    cells = hot.select("__g0", "__n", F.lit(0).cast("bigint").alias("__begin"), F.col("__n").alias("__rows"), *ends)
+    shares = [p + step * quantiles.CELL for p in (0.25, 0.5) for step in range(-quantiles.CELLS, quantiles.CELLS + 1)]
+    cut = quantiles._cut(df, cells, ["__g0"], shares)
+    rows = [r["__rows"] for r in cut.orderBy("__begin").collect()]
+    assert sum(rows) == 400_000
+    mean = quantiles.CELL * 400_000
+    around = [r for r in rows if r < 20 * mean]  # all but the three stretches between the ranks' surroundings
+    assert len(around) >= 4 * quantiles.CELLS - 2 and max(around) <= 4 * sum(around) / len(around)
+    assert quantiles.exact_quantiles(df, ["__g0"], "__v", [0.25]).first()["q0"] < 1
+
+
 def test_outliers(table):
     df = table("a string, b double", ("1", 1.0), ("2", 2.0), ("3", 3.0), ("4", 4.0), ("100", None))
     out = detect_outliers(df, ["a", "b"])
