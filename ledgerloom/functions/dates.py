@@ -72,12 +72,51 @@ def _parsed(text: Column, layout: str) -> Column:
     return parsed if shape is None else F.when(text.rlike(shape), parsed)
 
 
+def swapped(layout: str) -> str:
+    """The layout with day and month changed over."""
+    return re.sub("d+|M+", lambda part: ("M" if part[0][0] == "d" else "d") * len(part[0]), layout)
+
+
+def twin_layouts(formats: Sequence[str]) -> list[tuple[str, str]]:
+    """Pairs of numeric layouts that read the same texts with day and month changed over."""
+    pairs = []
+    for at, layout in enumerate(formats):
+        other = swapped(layout)
+        if other != layout and "MMM" not in layout + other and other in formats[at + 1 :]:
+            pairs.append((layout, other))
+    return pairs
+
+
+def _votes(df: DataFrame, texts: dict[str, str], pairs: Sequence[tuple[str, str]]) -> Column:
+    """Struct of ``<token>_<pair>``: whether more of a column's texts fit the pair's second layout than its first.
+
+    A subquery over the date columns alone that runs once; a task sends one row of counts.
+    """
+    fits = {token: ws_trim(c(name)) for token, name in texts.items()}
+
+    def count(token: str, layout: str) -> Column:
+        return F.count_if(fits[token].rlike(layout_shape(layout)))
+
+    votes = [
+        (count(token, second) > count(token, first)).alias(f"{token}_{i}")
+        for token in texts
+        for i, (first, second) in enumerate(pairs)
+    ]
+    return df.agg(F.struct(*votes).alias("votes")).scalar()
+
+
 def parse_dates(
-    df: DataFrame, names: Sequence[str], formats: Sequence[str] = DATE_FORMATS
+    df: DataFrame,
+    names: Sequence[str],
+    formats: Sequence[str] = DATE_FORMATS,
+    dayfirst: bool | None = None,
 ) -> DataFrame:
     """Turn the named columns into ``timestamp_ntz``; text that is no date becomes NULL.
 
-    Columns that already are dates stay as they are, so filters still reach the scan.
+    Columns that already are dates stay as they are, so filters still reach the scan. Where
+    texts can be read with the day or the month first, a column's texts vote: the layout that
+    more of them fit reads all it can (at a tie the one that comes first in ``formats``), the
+    other only the rest. ``dayfirst`` decides without a vote. A stream cannot vote.
     """
     wanted, texts = {}, {}
     for name in require(df, names):
@@ -90,10 +129,19 @@ def parse_dates(
             texts[f"__date_text{len(texts)}"] = name
         else:
             raise ValueError(f"column {name!r} of type {kind.simpleString()} holds no dates")
+    pairs = [pair for pair in twin_layouts(formats) if all(map(layout_shape, pair))] if texts else []
+    votes = _votes(df, texts, pairs) if pairs and dayfirst is None and not df.isStreaming else None
     for token, name in texts.items():
         text = F.col(token)
-        iso = text.try_cast("timestamp_ntz")
-        wanted[name] = F.coalesce(iso, *[_parsed(text, layout) for layout in formats])
+        tried = {layout: _parsed(text, layout) for layout in formats}
+        for i, (first, second) in enumerate(pairs):
+            if votes is not None:
+                turned = votes[f"{token}_{i}"]
+            else:
+                turned = F.lit(dayfirst is not None and (first.index("d") < first.index("M")) != dayfirst)
+            one, other = tried[first], tried.pop(second)
+            tried[first] = F.when(turned, F.coalesce(other, one)).otherwise(F.coalesce(one, other))
+        wanted[name] = F.coalesce(text.try_cast("timestamp_ntz"), *tried.values())
     if not wanted:
         return df
     with null_on_error(df.sparkSession):

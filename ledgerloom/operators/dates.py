@@ -17,11 +17,15 @@ def standardize_date(
     df: DataFrame,
     columns: Sequence[str] | None = None,
     formats: Sequence[str] = DATE_FORMATS,
+    dayfirst: bool | None = None,
 ) -> DataFrame:
-    """Parse date columns; by default the ``Date`` column if the table has one."""
+    """Parse date columns; by default the ``Date`` column if the table has one.
+
+    Each column is read day first or month first as most of its texts ask for, or as ``dayfirst`` says.
+    """
     if not columns:
         columns = [DEFAULTS.date] if DEFAULTS.date in df.columns else []
-    return parse_dates(df, columns, formats)
+    return parse_dates(df, columns, formats, dayfirst)
 
 
 def filter_date_range(
@@ -30,9 +34,10 @@ def filter_date_range(
     start=None,
     end=None,
     formats: Sequence[str] = DATE_FORMATS,
+    dayfirst: bool | None = None,
 ) -> DataFrame:
     """Keep rows between both bounds, inclusive; an ``end`` day means its midnight."""
-    out = parse_dates(df, [column], formats)
+    out = parse_dates(df, [column], formats, dayfirst)
     if start:
         out = out.filter(c(column) >= timestamp_literal(start))
     if end:

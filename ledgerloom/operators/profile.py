@@ -25,7 +25,8 @@ CURRENCY_SHARE = 0.3
 
 TOP_VALUES = 5
 # Longer texts are grouped by their SHA-256 digest, so a profile of documents does not
-# shuffle the documents; only the most frequent ones are looked up again.
+# shuffle the documents; only those that may be among the most frequent are looked up again.
+# As many characters of them are kept to order those of equal counts.
 LONG_TEXT = 64
 
 STATISTICS = ("min", "max", "skew", "first_date", "last_date")
@@ -78,7 +79,7 @@ def _value_text(df: DataFrame, name: str) -> Column:
 
 
 def _histogram(df: DataFrame) -> DataFrame:
-    """Rows (column, key, digest, currency, n): every value of every column, counted."""
+    """Rows (column, key, head, digest, currency, n): every value of every column, counted."""
     cells = df.select(*[_value_text(df, n).alias(n) for n in df.columns])
     long = cells.unpivot([], [c(n) for n in df.columns], "column", "value")
     value = F.col("value")
@@ -87,10 +88,11 @@ def _histogram(df: DataFrame) -> DataFrame:
         long.select(
             "column",
             F.when(is_long, F.sha2(value, 256)).otherwise(value).alias("key"),
+            F.when(is_long, F.substring(value, 1, LONG_TEXT)).alias("head"),
             is_long.alias("digest"),
             F.when(is_long, is_currency(value)).alias("currency"),
         )
-        .groupBy("column", "key", "digest", "currency")
+        .groupBy("column", "key", "head", "digest", "currency")
         .agg(F.count("*").alias("n"))
     )
 
@@ -98,31 +100,34 @@ def _histogram(df: DataFrame) -> DataFrame:
 def _top_values(df: DataFrame, histogram: DataFrame) -> DataFrame:
     """(column, top): the most frequent values with counts, ties in text order."""
     # NULL is ranked last and dropped afterwards: a filter before would be pushed into the
-    # scan, and the histogram's shuffle could not be shared with the counts.
-    best = Window.partitionBy("column").orderBy(F.isnull("key"), F.desc("n"), "key")
+    # scan, and the histogram's shuffle could not be shared with the counts. Ranks leave out
+    # nothing that ties with the last place as far as the heads tell.
+    best = Window.partitionBy("column").orderBy(F.isnull("key"), F.desc("n"), F.coalesce("head", "key"))
     top = (
-        histogram.withColumn("rank", F.row_number().over(best))
+        histogram.withColumn("rank", F.rank().over(best))
         .filter(F.col("rank") <= TOP_VALUES)
         .filter("key IS NOT NULL")
-        .select("column", "key", "digest", "n", "rank")
+        .select("column", "key", "digest", "n")
     )
     shown = top.withColumn("value", F.col("key"))
     texts = [n for n in df.columns if isinstance(dtype(df, n), T.StringType)]
     if texts:
-        # At most TOP_VALUES rows per column, hence broadcast. Where no top value is a
-        # digest the join has an empty side and AQE drops this second scan.
+        # A few rows, unless very many texts have one head. Where no top value is a digest
+        # the join has an empty side and AQE drops this second scan.
         wanted = top.filter("digest").select("column", "key")
         cells = df.select(*[c(n) for n in texts]).unpivot([], [c(n) for n in texts], "column", "text")
         whole = (
             cells.filter(F.length("text") > LONG_TEXT)
             .withColumn("key", F.sha2("text", 256))
-            .join(F.broadcast(wanted), ["column", "key"])
+            .join(wanted, ["column", "key"])
             .groupBy("column", "key")
             .agg(F.any_value("text").alias("text"))
         )
-        shown = top.join(F.broadcast(whole), ["column", "key"], "left").withColumn(
+        shown = top.join(whole, ["column", "key"], "left").withColumn(
             "value", F.when(F.col("digest"), F.col("text")).otherwise(F.col("key"))
         )
+    place = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value"))
+    shown = shown.withColumn("rank", place).filter(F.col("rank") <= TOP_VALUES)
     return shown.groupBy("column").agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct("rank", "value", "n"))),

@@ -276,6 +276,25 @@ def standardize_date_layouts(t):
     return dates.standardize_date(t.orders.select("o_orderkey", text.alias("d")), ["d"])
 
 
+@query("""SELECT o_orderkey, o_orderdate AS d, date_trunc('day', o_orderdate) AS m FROM orders""")
+def standardize_date_day_first(t):
+    """One column of days before months, one of months before days; each column's texts decide."""
+    day = F.col("o_orderdate")
+    texts = t.orders.select(
+        "o_orderkey", F.date_format(day, "d/M/yyyy H:mm:ss").alias("d"), F.date_format(day, "M-d-yyyy").alias("m")
+    )
+    return dates.standardize_date(texts, ["d", "m"])
+
+
+@query(
+    """SELECT o_orderkey, date_trunc('day', o_orderdate) AS d FROM orders
+       WHERE date_trunc('day', o_orderdate) BETWEEN TIMESTAMP '1996-02-01' AND TIMESTAMP '1996-05-04'"""
+)
+def filter_date_range_day_first(t):
+    text = F.date_format("o_orderdate", "dd-MM-yyyy")
+    return dates.filter_date_range(t.orders.select("o_orderkey", text.alias("d")), "d", "1996-02-01", "1996-05-04")
+
+
 @query(
     """SELECT o_orderkey, o_orderdate FROM orders
        WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate <= TIMESTAMP '1996-12-31'"""
@@ -787,6 +806,21 @@ def profile_top(t):
     )
 
 
+@query(
+    """SELECT * FROM (
+         SELECT 'text' AS "column", text AS value, count(*) AS n FROM documents GROUP BY text ORDER BY n DESC, value LIMIT 5)
+       UNION ALL SELECT * FROM (
+         SELECT 'first', text[1:100], count(*) FROM documents GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 5)
+       UNION ALL SELECT * FROM (
+         SELECT 'source', source, count(*) FROM documents GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 5)"""
+)
+def profile_top_documents(t):
+    """The most frequent values of long texts, most of which occur as often as others."""
+    table = t.documents.select("text", F.substring("text", 1, 100).alias("first"), "source")
+    found = profile(table).select("column", F.inline("top"))
+    return found.select("column", "value", F.col("count").alias("n"))
+
+
 @query(
     """SELECT 'text' AS col, count(DISTINCT text) AS uniques,
               (SELECT max(n) FROM (SELECT count(*) AS n FROM documents GROUP BY text)) AS top_n,

@@ -121,14 +121,14 @@ def _currency(state, df, cfg):
 @step("standardizeDate")
 def _standardize(state, df, cfg):
     columns = cfg.get("columns") or [cfg.get("col", DEFAULTS.date)]
-    formats = {"formats": cfg["formats"]} if cfg.get("formats") else {}
-    return dates.standardize_date(df, columns, **formats)
+    options = {name: cfg[name] for name in ("formats", "dayfirst") if cfg.get(name) is not None}
+    return dates.standardize_date(df, columns, **options)
 
 
 @step("filterDateRange")
 def _date_range(state, df, cfg):
     return dates.filter_date_range(
-        df, cfg.get("col", DEFAULTS.date), cfg.get("from"), cfg.get("to")
+        df, cfg.get("col", DEFAULTS.date), cfg.get("from"), cfg.get("to"), dayfirst=cfg.get("dayfirst")
     )
 
 

@@ -30,7 +30,8 @@ def test_many_layouts(table):
         None,
     )
     first = datetime(2024, 3, 1)
-    assert column(standardize_date(df, ["d"]), "d") == [
+    # Month first is stated: by their votes these texts would be read day first (13/03/2024).
+    assert column(standardize_date(df, ["d"], dayfirst=False), "d") == [
         first,
         datetime(2024, 3, 1, 10, 30),
         datetime(2024, 3, 1, 10, 30),
@@ -113,3 +114,30 @@ def test_period_starts(table, freq, want):
     assert df.select(period_start(c("d"), freq)).first()[0] == want
     with pytest.raises(ValueError):
         period_start(c("d"), "fortnight")
+
+
+def test_one_layout_per_column(table):
+    df = table(
+        "d string, m string, one string",
+        ("13/02/2024", "2/13/2024", "05/02/2024"),
+        ("05/02/2024", "05/02/2024", None),
+        ("28/02/2024", "2/28/2024", "x"),
+    )
+    out = standardize_date(df, ["d", "m", "one"])
+    assert column(out, "d") == [datetime(2024, 2, 13), datetime(2024, 2, 5), datetime(2024, 2, 28)]
+    assert column(out, "m") == [datetime(2024, 2, 13), datetime(2024, 5, 2), datetime(2024, 2, 28)]
+    assert column(out, "one") == [datetime(2024, 5, 2), None, None]  # a tie: month first
+    assert column(standardize_date(df, ["one"], dayfirst=True), "one")[0] == datetime(2024, 2, 5)
+    assert column(standardize_date(df, ["d"], dayfirst=False), "d")[1] == datetime(2024, 5, 2)
+    own = standardize_date(df, ["one"], ("d/M/yyyy", "M/d/yyyy"), dayfirst=False)
+    assert column(own, "one")[0] == datetime(2024, 5, 2)
+
+
+def test_day_first_range_and_recipe(table):
+    from ledgerloom import run_recipe
+
+    df = table("d string", "13/02/2024", "05/02/2024", "28/03/2024")
+    step = {"type": "filterDateRange", "config": {"col": "d", "from": "2024-02-01", "to": "2024-02-20"}}
+    assert sorted(column(run_recipe(df, [step]).df, "d")) == [datetime(2024, 2, 5), datetime(2024, 2, 13)]
+    step = {"type": "standardizeDate", "config": {"col": "d", "dayfirst": False}}
+    assert column(run_recipe(df, [step]).df, "d")[1] == datetime(2024, 5, 2)

@@ -246,3 +246,13 @@ def test_currency_columns(table):
     assert math.isclose(shares["a"], 1 / 3) and shares["b"] == 0.5
     assert detect_currency_columns(df) == ["a", "b"]
     assert detect_currency_columns(table("a string", "1", "2")) == []
+
+
+def test_top_long_texts_in_text_order(table):
+    texts = [letter + "x" * 79 for letter in "ihgfedcba"]
+    top = profile(table("t string", *texts)).first()["top"]
+    assert [(r["value"][0], r["count"]) for r in top] == [(x, 1) for x in "abcde"]
+    # Alike in the characters that are kept, so all are looked up; short ones in between.
+    tails = ["y" * 70 + letter for letter in "fedcbag"] + ["y" * 64, "y" * 64, "y" * 70 + "g"]
+    top = profile(table("t string", *tails)).first()["top"]
+    assert [(r["value"][64:], r["count"]) for r in top] == [("", 2), ("y" * 6 + "g", 2)] + [("y" * 6 + x, 1) for x in "abc"]
