@@ -1073,6 +1073,20 @@ def json_round_trip(t):
     )
 
 
+@query("""SELECT c_custkey, c_name, c_acctbal, CASE WHEN c_nationkey > 4 THEN c_nationkey END AS c_nationkey FROM customer""")
+def json_columns(t):
+    """Files of at most a thousand customers each, written as objects of columns and read back."""
+    path, at = work_path(t.spark, "customer-columns"), F.col("c_custkey").cast("string")
+    names = ("c_custkey", "c_name", "c_acctbal", "c_nationkey")
+    cells = t.customer.withColumn("c_nationkey", F.when(F.col("c_nationkey") > 4, F.col("c_nationkey")))
+    columns = [F.map_from_entries(F.collect_list(F.struct(at, n))).alias(n) for n in names]
+    objects = cells.groupBy(F.floor(F.col("c_custkey") / 1000).alias("part")).agg(*columns)
+    text = F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("value")
+    objects.select("part", text).write.partitionBy("part").text(path)
+    rows = readers.read_json(t.spark, path, layout="columns")
+    return rows.withColumn("c_nationkey", F.col("c_nationkey").cast("int"))
+
+
 @query("""SELECT o_orderstatus, o_orderkey FROM orders
           QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) = 1""")
 def parquet_file_order(t):

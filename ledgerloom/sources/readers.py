@@ -222,12 +222,12 @@ def read_json(
     ``layout`` is ``lines``, ``records`` or ``columns``; by default it is detected.
     """
     layout = layout or _sniff_json(first_lines(spark, path))
+    if layout == "columns":
+        return _read_columns(spark, path, schema, ordinal)
     reader = spark.read.option("multiLine", layout != "lines")
-    if schema is not None and layout != "columns":
+    if schema is not None:
         reader = reader.schema(schema)
     df = reader.json(path)
-    if layout == "columns":
-        return _columns_to_rows(df)
     return _text_position(df) if ordinal else df
 
 
@@ -240,19 +240,51 @@ def _sniff_json(lines: Sequence[str]) -> str:
     return "lines" if text[0].endswith("}") else "records"
 
 
-def _columns_to_rows(df: DataFrame) -> DataFrame:
-    """One object ``{column: {index: value}}`` to rows, in the order of the index."""
-    index = sorted(
-        {field.name for column in df.schema for field in column.dataType.fields}, key=int
+def _read_columns(spark: SparkSession, path: str, schema: T.StructType | str | None, ordinal: bool) -> DataFrame:
+    """Objects ``{column: {index: value}}``, one a file, as rows in the order of file and index.
+
+    A file is parsed once into typed values; these are then rows (file, index, column, value) that meet by file and
+    index like any grouped table, so the plan grows with the columns only. A missing cell is NULL.
+    """
+    files = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^\ufeff", "").alias("text")
     )
-    present = {column.name: set(column.dataType.names) for column in df.schema}
-    rows = [
-        F.struct(
-            *[
-                (F.col(f"{quoted(n)}.{quoted(i)}") if i in present[n] else F.lit(None)).alias(n)
-                for n in df.columns
-            ]
-        )
-        for i in index
-    ]
-    return df.select(F.inline(F.array(*rows)))
+    parsed = files.select("file", F.from_json("text", "map<string, map<string, variant>>").alias("columns"))
+    cells = parsed.select("file", F.explode("columns").alias("column", "cells")).select(
+        "file", "column", F.explode("cells").alias("at", "value")
+    )
+    cells = cells.withColumn("at", F.col("at").cast("bigint"))
+    if schema is None:
+        fields = _column_types(parsed, cells)
+    else:
+        given = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        fields = {f.name: f.dataType.simpleString() for f in given.fields}
+
+    def value(kind: str) -> Column:
+        typed = F.try_variant_get("value", "$", kind)
+        if kind.lower() != "string":
+            return typed
+        return F.when(~F.is_variant_null("value"), F.coalesce(typed, F.to_json("value")))
+
+    # At most one cell meets the condition in a group.
+    found = [F.max_by(value(kind), F.when(F.col("column") == n, 1)).alias(n) for n, kind in fields.items()]
+    rows = cells.groupBy("file", "at").agg(*found).orderBy("file", "at")
+    position = [F.struct(F.col("file").alias("file_path"), F.col("at")).alias(ROW_ID)] if ordinal else []
+    return rows.select(*[c(n) for n in fields], *position)
+
+
+def _column_types(parsed: DataFrame, cells: DataFrame) -> dict[str, str]:
+    """Column names in the order of the first file, with the narrowest type all their values have."""
+    found = cells.groupBy("column").agg(F.schema_of_variant_agg("value").alias("kind"))
+    kinds = {row["column"]: row["kind"] for row in found.collect()}
+    first = parsed.select(F.map_keys("columns").alias("names")).orderBy("file").first()
+    order = [n for n in (first["names"] or [] if first else []) if n in kinds]
+    order += sorted(set(kinds) - set(order))
+    return {n: _plain_type(kinds[n]) for n in order}
+
+
+def _plain_type(kind: str) -> str:
+    """The type of a variant's schema as the JSON reader would name it."""
+    kind = re.sub(r"DECIMAL\(\d+,\s*\d+\)|FLOAT", "DOUBLE", kind)
+    kind = re.sub(r"\b(VOID|VARIANT)\b", "STRING", kind)
+    return kind.replace("OBJECT<", "STRUCT<") if "<" in kind else kind.lower()

@@ -214,3 +214,27 @@ def test_long_lines_stay_off_the_driver(spark, tmp_path):
     path = save(tmp_path, line + "\n", name="t.json")
     assert max(map(len, first_lines(spark, path))) == SNIFF_CHARS + 1
     assert len(rows(read_json(spark, path))[0][0]) == 200_000
+
+
+def test_json_columns_of_many_rows_and_types(spark, tmp_path):
+    n = 30_000
+    table = {
+        "i": {str(k): k for k in range(n)},
+        "x": {str(k): k / 4 for k in range(n)},
+        "mixed": {"0": 1, "1": 2.5, "2": None},
+        "text.dotted": {str(k): f"t{k}" for k in range(0, n, 2)},
+        "flag": {"5": True},
+        "nested": {"0": {"a": [1, 2]}},
+        "any": {"0": 1, "1": "one", "2": {"a": 1}},
+        "none": {"0": None},
+    }
+    df = read_json(spark, save(tmp_path, json.dumps(table), name="t.json"), ordinal=True)
+    assert df.columns[:8] == list(table)
+    assert [f.dataType.simpleString() for f in df.schema.fields[:5]] == ["bigint", "double", "double", "string", "boolean"]
+    got = df.collect()
+    assert len(got) == n and [r["i"] for r in got] == list(range(n)) and got[7]["x"] == 1.75
+    assert [r["mixed"] for r in got[:4]] == [1.0, 2.5, None, None]
+    assert (got[2]["text.dotted"], got[3]["text.dotted"], got[5]["flag"]) == ("t2", None, True)
+    assert got[0]["nested"]["a"] == [1, 2] and [r["any"] for r in got[:3]] == ["1", "one", '{"a":1}']
+    stated = read_json(spark, str(tmp_path / "t.json"), layout="columns", schema="x double, i string")
+    assert tuple(stated.first()) == (0.0, "0")
