@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,10 @@ from ..functions.text import ws_trim
 from ..session import fits_broadcast
 
 JOIN_TYPES = ("left", "right", "inner", "outer")
+HOT_SHARES = 1000  # a key with more than one in so many rows is frequent; there are fewer than that
+HOT_ROWS = 1_000_000  # and it has a thousandth of these rows at least
+SALTS = 32  # tasks that the rows of a frequent key are dealt over
+LONG_TEXT = 64  # longer texts are compared by digest
 
 
 def _check_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> list[str]:
@@ -42,9 +46,10 @@ def join_tables(
     """Join on equal keys (NULL equals NULL); the key appears once.
 
     Other columns both tables have get the suffixes. Where a side is small enough to be
-    broadcast, Spark joins without a shuffle. A full outer join, which AQE cannot split, is a
-    left join, whose skewed partitions it splits on the left, plus the right rows without a
-    partner, found by their keys alone.
+    broadcast, Spark joins without a shuffle. Else AQE splits skewed partitions of the side that
+    an outer join preserves, and keys frequent on its other side, found by a count of the keys, are
+    joined apart with their rows dealt over SALTS tasks. A full outer join is a left join plus the
+    right rows without a partner, found by their keys alone.
     """
     if how not in JOIN_TYPES:
         raise ValueError(f"how must be one of {JOIN_TYPES}, not {how!r}")
@@ -53,8 +58,9 @@ def join_tables(
     return _join(left, right, keys, how, suffixes, left.select(*[c(k) for k in keys]))
 
 
-def _join(left, right, keys, how, suffixes, left_keys) -> DataFrame:
-    """``left_keys`` holds the key values of ``left``, maybe from a cheaper source."""
+def _join(left, right, keys, how, suffixes, left_keys, spread=True) -> DataFrame:
+    """``left_keys`` holds the key values of ``left``, maybe from a cheaper source. Without ``spread`` no
+    keys are counted, so both tables are used once."""
     left_name, right_name = _output_names(left, right, keys, suffixes)
     a = left.select(*[c(n).alias(left_name.get(n, n)) for n in left.columns])
     tokens = {k: f"__right_key{i}" for i, k in enumerate(keys)}
@@ -76,12 +82,44 @@ def _join(left, right, keys, how, suffixes, left_keys) -> DataFrame:
         alone = b.join(left_keys.distinct(), equal, "left_anti")
         return alone.select(*[F.col(t).alias(k) for k, t in tokens.items()], *right_values)
 
+    small_a, small_b = fits_broadcast(a), fits_broadcast(b)
+    shuffled = spread and not (small_a or small_b or left.isStreaming or right.isStreaming)
+
+    def preserved(kind: str) -> DataFrame:
+        """A left or right join, safe against frequent keys on its other side."""
+        if not shuffled:
+            return both(kind)
+        own, other = list(tokens), list(tokens.values())
+        (outer, outer_keys), (inner, inner_keys) = ((a, own), (b, other)) if kind == "left" else ((b, other), (a, own))
+        names = [f"__hot_key{i}" for i in range(len(own))]
+        sizes = inner.groupBy(*[c(k).alias(n) for k, n in zip(inner_keys, names)]).agg(F.count("*").alias("__n"))
+        least = F.greatest(sizes.agg(F.sum("__n")).scalar(), F.lit(HOT_ROWS))
+        # Fewer than HOT_SHARES rows.
+        hot = sizes.filter(F.col("__n") * HOT_SHARES > least).select(*names, F.lit(True).alias("__hot"))
+
+        def marked(table, keys):
+            same = reduce(and_, [c(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
+            return table.join(F.broadcast(hot), same, "left").drop(*names)
+
+        # Rows of a frequent key are dealt over salts on one side and copied to each on the other. Such
+        # a key has partners, so a copy without one is no row of the result.
+        copies = F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+        salt = F.when(F.col("__hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(0)
+        dealt = marked(inner, inner_keys).select(*[c(n) for n in inner.columns], salt.alias("__salt"), F.lit(True).alias("__met"))
+        copied = marked(outer, outer_keys).withColumn("__copy", copies)
+        met = copied.join(dealt, equal & (F.col("__copy") == F.col("__salt")), "left")
+        whole = met.filter(F.col("__hot").isNull() | F.col("__met").isNotNull())
+        key_of = {k: c(k) if kind == "left" else F.col(t) for k, t in tokens.items()}
+        return whole.select(*[key_of[n].alias(n) if n in tokens else c(n) for n in a.columns], *right_values)
+
+    if how in ("left", "right"):
+        return preserved(how)
     if how != "outer" or left.isStreaming:
         return both(how)
-    if fits_broadcast(a) and not fits_broadcast(b):
+    if small_a and not small_b:
         parts = [both("right"), lone_left()]
     else:
-        parts = [both("left"), lone_right()]
+        parts = [preserved("left"), lone_right()]
     whole = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
     return whole.select(*[c(n) for n in both("inner").columns])
 
@@ -106,7 +144,11 @@ def join_on_common_columns(
     how: str = "outer",
     suffixes: Sequence[str] = ("_x", "_y"),
 ) -> DataFrame:
-    """Join tables one after the other, by default on all columns that every one has."""
+    """Join tables one after the other, by default on all columns that every one has.
+
+    Keys are not counted beforehand, so each table is read once and a key frequent on the later
+    side of an outer join stays in one partition: ``join_tables`` deals it over tasks.
+    """
     if not tables:
         return SparkSession.active().createDataFrame([], T.StructType([]))
     if how not in JOIN_TYPES:
@@ -118,7 +160,7 @@ def join_on_common_columns(
     out, keys = drop_hidden(tables[0]), [c(k) for k in on]
     known = out.select(*keys)
     for table in map(drop_hidden, tables[1:]):
-        out = _join(out, table, _check_keys(out, table, on), how, suffixes, known)
+        out = _join(out, table, _check_keys(out, table, on), how, suffixes, known, spread=False)
         # In an outer join a key is known once any table has it. Taken from the tables,
         # the keys do not depend on the joins so far, which would run again for them.
         known = known.union(table.select(*keys)) if how == "outer" else out.select(*keys)
@@ -126,17 +168,23 @@ def join_on_common_columns(
 
 
 def _cells(df: DataFrame, names: Sequence[str], side: str) -> DataFrame:
-    """(column, raw) rows of one side, counted; ``a`` and ``b`` tell the side."""
+    """(column, raw, value) rows of one side, counted; ``a`` and ``b`` tell the side."""
     narrow = df.select(*[c(n).cast("string").alias(n) for n in names])
-    long = narrow.unpivot([], [c(n) for n in names], "column", "raw")
+    long = narrow.unpivot([], [c(n) for n in names], "column", "text")
     return long.select(
         "column",
-        "raw",
+        _short(F.col("text")).alias("raw"),
+        _short(F.lower(ws_trim(F.col("text")))).alias("value"),
         F.lit(int(side == "a")).cast("bigint").alias("a"),
         F.lit(int(side == "b")).cast("bigint").alias("b"),
     )
 
 
+def _short(text: Column) -> Column:
+    """The text, or its digest, which no short text equals, where it is long: no texts are shuffled."""
+    return F.when(F.length(text) > LONG_TEXT, F.concat(F.lit("#"), F.sha2(text, 256))).otherwise(text)
+
+
 def suggest_join_keys(a: DataFrame, b: DataFrame) -> DataFrame:
     """Score every common column as a join key, best first, ties by name.
 
@@ -154,10 +202,10 @@ def suggest_join_keys(a: DataFrame, b: DataFrame) -> DataFrame:
     raw = (
         _cells(a, names, "a")
         .unionAll(_cells(b, names, "b"))
-        .groupBy("column", "raw")
+        .groupBy("column", "raw", "value")
         .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     )
-    by_value = raw.groupBy("column", F.lower(ws_trim(F.col("raw"))).alias("value")).agg(
+    by_value = raw.groupBy("column", "value").agg(
         F.sum("a").alias("a"),
         F.sum("b").alias("b"),
         F.count_if(F.col("raw").isNotNull() & (F.col("a") > 0)).alias("raw_a"),

@@ -6,6 +6,7 @@ from collections import Counter
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom import (
     consolidate_periods,
@@ -86,6 +87,45 @@ def test_join_with_a_hot_key_on_the_other_side(spark, how, broadcast_limit):
     assert sorted(got["k"]) == sorted(want["k"])
 
 
+@pytest.mark.parametrize("how", ["left", "right", "outer"])
+def test_rows_of_a_hot_key_are_dealt_over_tasks(spark, how, monkeypatch):
+    """A third of the other side's rows on one key: no task holds them all, and none is lost."""
+    from ledgerloom.operators import joins
+
+    monkeypatch.setattr(joins, "HOT_ROWS", 1000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        ids = spark.range(9000)
+        k = F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, 7).otherwise(F.col("id"))
+        many = ids.select(k.cast("bigint").alias("k"), F.col("id").alias("w"))
+        few = spark.range(6100).select(F.when(F.col("id") < 6098, F.col("id")).alias("k"), (-F.col("id")).alias("v"))
+        left, right = (many, few) if how == "right" else (few, many)
+        out = join_tables(left, right, "k", how)
+        per_task = out.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+        kind = {"outer": "full"}.get(how, how)
+        want = left.withColumnRenamed("k", "j").join(right, F.col("j").eqNullSafe(F.col("k")), kind)
+        want = want.select(F.coalesce("j", "k").alias("k"), *[n for n in ("v", "w", "v") if n in out.columns][:2])
+        assert rows(out.select("k", "v", "w")) == rows(want.select("k", "v", "w"))
+        assert per_task.max() < 3000
+    finally:
+        for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled"):
+            spark.conf.unset(name)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_key_suggestions_shuffle_no_long_texts(table):
+    long = ["a" * 100, " A" + "a" * 99, "b" * 100, None]
+    df = table("t string", *long)
+    row = suggest_join_keys(df, table("t string", "a" * 100, "c" * 70)).first()
+    assert (row["left_only"], row["right_only"], row["overlap"]) == (1, 1, round(1 / 3, 4))
+    assert (row["left_uniqueness"], row["right_uniqueness"]) == (0.75, 1.0)
+    text = suggest_join_keys(df, df)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in text.splitlines() if "Exchange hashpartitioning(" in line]
+    assert dealt and not any("text#" in line for line in dealt) and "sha2" in text
+
+
 def test_join_with_dotted_key(table):
     a = table("`a.k` int, x int", (1, 2))
     assert rows(join_tables(a, a, "a.k", "outer")) == [(1, 2, 2)]
