@@ -25,11 +25,11 @@ from ..operators.quality import detect_outliers, outlier_fences, validate_regex,
 from ..operators.union import consolidate_periods, union_identical
 from ..session import work_path
 from ..sources import readers, writers
-from ..sources.preview import preview
+from ..sources.preview import describe, preview, sample_records
 from ..streaming import tables as streams
 from .audit import log_table
 from .recipe import run_recipe
-from .suggest import propose_recipe
+from .suggest import proposals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -78,6 +78,18 @@ def net_profit(t):
     return out.select("l_orderkey", "l_linenumber", F.round("net_profit", 4).alias("net_profit"))
 
 
+@query(
+    """SELECT l_orderkey, l_linenumber,
+              round(CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_extendedprice END - l_quantity, 4) AS net_profit FROM lineitem"""
+)
+def net_profit_of_text(t):
+    """Revenue and costs as texts: one that is no number counts as 0."""
+    revenue = F.when(F.col("l_returnflag") == "R", "n/a").otherwise(F.col("l_extendedprice").cast("string"))
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", revenue.alias("revenue"), F.concat(F.lit(" "), "l_quantity").alias("costs"))
+    profit = finance.net_profit(lines, "revenue", "costs", dest="net_profit")
+    return profit.select("l_orderkey", "l_linenumber", F.round("net_profit", 4).alias("net_profit"))
+
+
 @query(
     """SELECT l_orderkey, l_linenumber, round(l_extendedprice - l_quantity, 4) AS gross_profit
        FROM lineitem"""
@@ -324,6 +336,22 @@ def preview_page(t):
     return preview(t.orders.select("o_orderkey", "o_totalprice"), 5, 5, order_by=["o_orderkey"])
 
 
+@query("""SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20""")
+def sample_rows(t):
+    """The first records of a sorted table, as the driver gets them."""
+    orders = t.orders.select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return t.spark.createDataFrame(sample_records(orders), orders.schema)
+
+
+@query("""SELECT count(*) AS n_rows, 5 AS n_columns, 'c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment' AS names,
+                 20 AS sampled FROM customer""")
+def describe_table(t):
+    """Columns, shape and sample size of a table, as its description states them."""
+    found = describe(t.customer)
+    row = (found["shape"][0], found["shape"][1], ",".join(found["columns"]), len(found["sample"]))
+    return t.spark.createDataFrame([row], "n_rows bigint, n_columns int, names string, sampled int")
+
+
 # Filters
 
 
@@ -1020,15 +1048,25 @@ def recipe_audit_log(t):
     )
 
 
-@query()
+@query(
+    r"""WITH s AS (SELECT 'ORD-' || lpad(l_orderkey::VARCHAR, 7, '0') AS o, '$' || format('{:,.2f}', l_extendedprice) AS r
+                   FROM lineitem),
+             q AS (SELECT round(avg(CASE WHEN regexp_matches(o, '^[A-Za-z0-9\-]{6,20}$') THEN 1.0 ELSE 0.0 END), 2) AS ids,
+                          round(avg(CASE WHEN contains(r, '$') THEN 1.0 ELSE 0.0 END), 2) AS money FROM s)
+        SELECT 'calculateNetProfit' AS type, '{}' AS config, money AS confidence FROM q WHERE money > 0.5
+        UNION ALL SELECT 'standardizeDate', '{"col":"Ship Date"}', 0.95
+        UNION ALL SELECT 'sortByDate', '{"col":"Ship Date"}', 0.8
+        UNION ALL SELECT 'validateRegex', '{"column":"Order ID","pattern":"^[A-Za-z0-9\\\\-]{6,20}$"}', ids FROM q WHERE ids > 0.6
+        UNION ALL SELECT 'currencyToFloat', '{"columns":["Revenue","Discount","Tax"]}', 0.9
+        UNION ALL SELECT 'addColumnFormula', '{"dest":"Net Sales","expr":"`Revenue` - `Discount`"}', 0.85
+        UNION ALL SELECT 'aggregatePLByPeriod',
+          '{"date_col":"Ship Date","freq":"M","revenue_col":"Revenue","cogs_col":null,"expenses_col":null}', 0.9
+        UNION ALL SELECT 'detectOutliers', '{"columns":["Quantity"],"k":1.5}', 0.7
+        UNION ALL SELECT 'dropDuplicates', '{"subset":["Order ID"],"keep":"first"}', 0.8"""
+)
 def proposed_recipe(t):
     """Steps proposed from the pattern rates and names of order lines as sales data."""
-    sales = _as_sales(t)
-    rows = [
-        (s["type"], json.dumps(s["config"], sort_keys=True), float(s["confidence"]))
-        for s in propose_recipe(sales)
-    ]
-    return t.spark.createDataFrame(rows, "type string, config string, confidence double")
+    return proposals(_as_sales(t)).select("type", "config", "confidence")
 
 
 def _as_sales(t):

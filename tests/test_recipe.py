@@ -328,3 +328,16 @@ def test_proposal(table):
     ]
     assert found[5]["config"]["columns"] == ["Sales", "Cost", "Discount", "Unit Price"]
     assert found[8]["config"] == {"columns": ["Unit Price", "Qty"], "k": 1.5}
+
+
+def test_own_rules_and_odd_names(table):
+    from ledgerloom.plans.suggest import RULES, Rule, proposals
+
+    df = table("`a.b date` string, `it's` string", ("2024-01-01", "AB-123456"))
+    own = Rule("lowercaseText", "contains(name, 'it')", "0.5", {"columns": "array(column)"}, column=True)
+    found = propose_recipe(df, [*RULES, own])
+    assert [(p["type"], p["confidence"]) for p in found] == [
+        ("standardizeDate", 0.95), ("sortByDate", 0.8), ("validateRegex", 1.0), ("validateRegex", 1.0), ("lowercaseText", 0.5)
+    ]
+    assert found[-1]["config"] == {"columns": ["it's"]} and found[2]["config"]["pattern"] == r"^[A-Za-z0-9\\-]{6,20}$"
+    assert proposals(df, []).count() == 0 and propose_recipe(table("name string", "x")) == []
