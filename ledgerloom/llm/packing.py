@@ -84,8 +84,8 @@ def pack_lengths(histogram: dict[int, int], size: int) -> list[Pattern]:
     """Patterns that use every length as often as the histogram has it.
 
     Longest lengths first; each goes into the packs with the most room left that still hold it,
-    so a new sequence is begun only if no open one has room. The work depends on ``size``, not on
-    the number of pieces.
+    so a new sequence is begun only if no open one has room. New ones take as many of the length as
+    fit. The work depends on ``size``, not on the number of pieces.
     """
     open_packs: dict[int, list[tuple[int, tuple[int, ...]]]] = {}  # room left: (count, lengths)
     roomiest = 0
@@ -98,16 +98,20 @@ def pack_lengths(histogram: dict[int, int], size: int) -> list[Pattern]:
             while room >= length and not open_packs.get(room):
                 room -= 1
             if room < length:
-                taken, lengths, rest = left, (), size
+                # As many full new packs as there are pieces for, then one with what is left.
+                copies = min(size // length, left)
+                taken, lengths, rest = left // copies, (), size
             else:
                 count, lengths = open_packs[room].pop()
-                taken, rest = min(count, left), room
+                copies, taken, rest = 1, min(count, left), room
                 if count > taken:
                     open_packs[room].append((count - taken, lengths))
-            open_packs.setdefault(rest - length, []).append((taken, (*lengths, length)))
-            roomiest = max(roomiest, rest - length)
-            room = max(room, rest - length)
-            left -= taken
+            rest -= copies * length
+            open_packs.setdefault(rest, []).append((taken, (*lengths, *[length] * copies)))
+            roomiest = max(roomiest, rest)
+            # The rest of this length goes into new packs as well, not on top of those just filled.
+            room = 0 if copies > 1 else max(room, rest)
+            left -= taken * copies
     return [Pattern(lengths, count) for packs in open_packs.values() for count, lengths in packs]
 
 

@@ -385,3 +385,36 @@ def test_pipeline(spark, data):
     packed = corpus_pipeline.run(spark, data)
     assert packed.select("doc_id").distinct().count() <= docs.count()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "exact dedup", "near dedup", "pii", "packing"]
+
+
+@pytest.mark.parametrize("histogram", [{10: 100_000}, {1000: 100_000}, {2048: 7}, {1: 1}, {700: 5, 699: 1}])
+def test_equal_lengths_share_sequences(histogram):
+    (length, count), *_ = histogram.items()
+    patterns = packing.pack_lengths(histogram, 2048)
+    used = Counter()
+    for p in patterns:
+        assert sum(p.lengths) <= 2048
+        for piece in p.lengths:
+            used[piece] += p.count
+    assert used == Counter(histogram)
+    if len(histogram) == 1:
+        assert sum(p.count for p in patterns) == -(-count // (2048 // length))
+    rows = packing.placements(patterns)
+    assert sorted({tuple(r[:2]) for r in rows.tolist()}) == sorted(tuple(r[:2]) for r in rows.tolist())
+
+
+def test_percent_encoded_text_takes_linear_time():
+    import time
+
+    text, begin = "%20a" * 250_000 + " jane.roe@example.org", time.process_time()
+    found = [m.group() for m in pii.PATTERN.finditer(text) if m.lastgroup == "email" or m.group("email")]
+    assert found == ["jane.roe@example.org"] and time.process_time() - begin < 5
+
+
+def test_pipeline_stage_keeps_odd_columns(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "mail a.b@c.org", "en", 5, "own")], "doc_id long, text string, lang string, `a.b` int, pii_spans string")
+    out = corpus_pipeline.hide_personal_data(spark, docs, "")
+    row = out.first()
+    assert out.columns == docs.columns and row["a.b"] == 5 and row["pii_spans"] == "own" and "a.b@c.org" not in row["text"]
