@@ -27,7 +27,7 @@ FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 DAYS = datetime.date(2100, 1, 1).toordinal() - FIRST_DAY
 
 PATTERN = re.compile(
-    r"""(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
+    r"""(?P<email>(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
     |(?P<aws>(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9]))
     |(?P<secret>(?<![A-Za-z0-9])(?i:password|passwd|secret|token|api_key)\ ?[=:]\ ?["']?(?P<value>[A-Za-z0-9]{12,})(?![A-Za-z0-9]))
     |(?P<phone>(?<![\w+])\+1[ -]\(?(?P<area>[2-9]\d\d)\)?[ -]?(?P<exchange>[2-9]\d\d)[ -]?(?P<line>\d{4})(?!\d)
@@ -314,20 +314,20 @@ def _replace(batches: Iterator[pa.RecordBatch], secret: str) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays(arrays, names=["row", "text", "spans"])
 
 
-def replace_personal_data(docs: DataFrame, secret: str) -> DataFrame:
-    """``docs`` with ``text`` replaced, and last ``pii_spans``: start, length and kind of each value.
+def replace_personal_data(docs: DataFrame, secret: str, spans_as: str = "pii_spans") -> DataFrame:
+    """``docs`` with ``text`` replaced, and last ``spans_as``: start, length and kind of each value.
 
     One row per row, no shuffle; all other columns are passed through untouched, an existing
-    ``pii_spans`` is replaced. NULL texts stay NULL with no spans. Values that fail their check stay.
+    ``spans_as`` is replaced. NULL texts stay NULL with no spans. Values that fail their check stay.
     """
-    others = [c for c in docs.columns if c not in ("text", "pii_spans")]
+    others = [c for c in docs.columns if c not in ("text", spans_as)]
     row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others])
     nested = docs.select(row.alias("row"), F.col("text").cast("string").alias("text"))
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in nested.schema["row"].dataType)
     spans = "array<struct<start: bigint, length: bigint, kind: string>>"
     done = in_arrow(nested, lambda b: _replace(b, secret), f"row struct<{kind.replace('` ', '`: ')}>, text string, spans {spans}")
-    columns = [F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c != "pii_spans"]
-    return done.select(*columns, F.col("spans").alias("pii_spans"))
+    columns = [F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c != spans_as]
+    return done.select(*columns, F.col("spans").alias(spans_as))
 
 
 def secret_of(spark: SparkSession) -> str:
