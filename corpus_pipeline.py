@@ -29,7 +29,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal values replaced by pseudonyms of the same format."""
-    return pii.replace_personal_data(docs, pii.secret_of(spark)).select(*docs.columns)
+    spans = max(docs.columns, key=len) + "_"  # a name that no column has
+    return pii.replace_personal_data(docs, pii.secret_of(spark), spans).drop(spans)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
