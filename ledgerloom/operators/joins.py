@@ -82,8 +82,9 @@ def _join(left, right, keys, how, suffixes, left_keys, spread=True) -> DataFrame
         alone = b.join(left_keys.distinct(), equal, "left_anti")
         return alone.select(*[F.col(t).alias(k) for k, t in tokens.items()], *right_values)
 
-    small_a, small_b = fits_broadcast(a), fits_broadcast(b)
-    shuffled = spread and not (small_a or small_b or left.isStreaming or right.isStreaming)
+    streams = left.isStreaming or right.isStreaming  # whose plan has no size to ask for
+    small_a, small_b = (False, False) if streams else (fits_broadcast(a), fits_broadcast(b))
+    shuffled = spread and not (small_a or small_b or streams)
 
     def preserved(kind: str) -> DataFrame:
         """A left or right join, safe against frequent keys on its other side."""
