@@ -30,6 +30,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op5_exact_dedup": exact.OP5_SQL,
     "op11_merkle_manifest": manifest.OP11_SQL,
-    "op12_suffix_array_dedup": repeats.OP12_SQL,
     "op13_prefix_trie": prefixes.OP13_SQL,
 }

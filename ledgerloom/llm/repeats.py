@@ -410,6 +410,7 @@ def op12_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Too slow for whole tables; a test holds the query against it on a small one.
 OP12_SQL = r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
 w AS (
