@@ -224,15 +224,30 @@ def test_rules_equal_brute_force(docs, empty):
     assert rules.judge(empty).count() == 0
 
 
-def test_robust_distance_is_not_masked(spark):
-    """A tenth of far rows must not draw the centre or widen the scatter."""
+@pytest.mark.parametrize("far, centre, beyond", [(100, 30, 400), (330, -8, 40), (440, -8, 20)])
+def test_robust_distance_is_not_masked(spark, far, centre, beyond):
+    """Up to nearly half of the rows, far and alike, must not draw the centre. Half of all rows is then nearly
+    all of the good ones, so distances shrink: to a third (3.2) of their true value at 44 % of far rows."""
     rng = np.random.default_rng(3)
-    good, bad = rng.normal(0, 1, (900, 2)), rng.normal(30, 1, (100, 2))
+    good, bad = rng.normal(0, 1, (1000 - far, 2)), rng.normal(centre, 0.5, (far, 2))
     rows = [(i, "en", "s", float(x), float(x + 0.1 * y)) for i, (x, y) in enumerate(np.vstack([good, bad]))]
     table = spark.createDataFrame(rows, "doc_id bigint, lang string, source string, u double, v double")
     out = rules.robust_distance(table, [F.col("u"), F.col("v")], floors=(1e-3, 1e-3)).collect()
-    worst, least = max(r["d2"] for r in out if r["doc_id"] < 900), min(r["d2"] for r in out if r["doc_id"] >= 900)
-    assert worst < 60 < 400 < least
+    d2 = {r["doc_id"]: r["d2"] for r in out}
+    assert len(d2) == 1000
+    worst, least = max(d2[i] for i in range(1000 - far)), min(d2[i] for i in range(1000 - far, 1000))
+    assert worst < 20 <= beyond < least
+
+
+def test_robust_distances_of_clean_rows_are_chi_squared(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, None, "s" if i % 2 else "t", *map(float, x)) for i, x in enumerate(rng.normal(5, 2, (2000, 3)))]
+    table = spark.createDataFrame(rows, "doc_id bigint, lang string, source string, u double, v double, w double")
+    out = rules.robust_distance(table, [F.col(c) for c in "uvw"], floors=(1e-2,) * 3)
+    d2 = np.array([r["d2"] for r in out.collect()])
+    for share in (0.5, 0.9, 0.99):
+        assert abs((d2 <= rules.chi_squared(share, 3)).mean() - share) < 0.03
+    assert abs(rules.chi_squared(0.5, 5) - 4.351) < 0.05 and abs(rules.chi_squared(0.999, 5) - 20.515) < 0.4
 
 
 def test_pseudonyms_keep_format_and_links():
@@ -373,7 +388,7 @@ def test_written_shards_count_every_column(spark, tmp_path):
 def test_registered_queries(spark, data):
     found = contract.queries()
     names = [n for n in found if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     sql = contract.oracle_sql()["op5_exact_dedup"]
     assert oracle.differences(found["op5_exact_dedup"](spark, data), oracle.connect(data), sql) is None
 
