@@ -3,8 +3,8 @@
 Word n-grams of known notices are the sparse features of a multinomial logistic regression over
 licence families and an unknown class. It is fitted on damaged copies of the notices, ordinary
 paragraphs of the scanned table and fragments; a second regression on held-out examples turns its
-margin into a calibrated probability. A prediction is confirmed by comparison with the family's
-notices.
+margin into a calibrated probability. A prediction is confirmed by comparison with the notices: one of
+the family must be half there with its name and version, and no other family's may be closer.
 """
 
 from __future__ import annotations
@@ -43,6 +43,23 @@ NOTICES = [
     ("CC-BY", "Licensed under CC BY 4.0"),
     ("CC-BY", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("CC0", "To the extent possible under law, the author has waived all copyright and related rights to this work. CC0 1.0 Universal Public Domain Dedication"),
+    ("LGPL", "This work is licensed under the GNU Lesser General Public License, version 3"),
+    ("GPL-1.0", "This work is licensed under the GNU General Public License, version 1"),
+    ("BSD", "Licensed under the BSD 2-Clause License"),
+    ("ISC", "Released under the ISC License"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("EPL-2.0", "Licensed under the Eclipse Public License, Version 2.0"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0"),
+    ("BSL-1.0", 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software'),
+    ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    ("Unlicense", "Released under the Unlicense"),
+    ("CC-BY-ND", "Licensed under CC BY-ND 4.0"),
+    ("CC-BY-ND", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("CC-BY-NC-SA", "Licensed under CC BY-NC-SA 4.0"),
+    ("CC-BY-NC-SA", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("CC-BY-NC-ND", "Licensed under CC BY-NC-ND 4.0"),
+    ("CC-BY-NC-ND", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
     ("Proprietary", "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher"),
 ]
 UNKNOWN = "unknown"
@@ -55,15 +72,22 @@ EVERYDAY = frozenset(
     " it law may met no not of or part person possible provided related that the this to under universal use v version with"
     " without work you your".split()
 )
+# Words of licence names: a notice that has one is confirmed only where the text has it too.
+NAMES = frozenset(
+    "affero apache attribution attribution-noderivatives attribution-noncommercial attribution-noncommercial-noderivatives"
+    " attribution-noncommercial-sharealike attribution-sharealike boost bsd by-nc by-nc-nd by-nc-sa by-nd by-sa cc cc0"
+    " commons creative eclipse general gnu isc lesser mit mozilla unlicense".split()
+)
 LEAST_PROBABILITY = 0.5
 LEAST_OVERLAP = 0.5  # share of a notice's word pairs that confirms a prediction
 GRAMS = 3
 
 
 def _tokens(text: Column) -> Column:
-    """Lower-case words of letters, digits and inner dots, plus or minus signs."""
+    """Lower-case words of letters, digits and inner dots, plus or minus signs; 2.0 and v2 are written 2."""
     found = F.split(F.lower(text), r"[^\p{L}\p{N}.+-]+")
-    return F.filter(F.transform(found, lambda w: F.btrim(w, F.lit(".-+"))), lambda w: w != "")
+    found = F.filter(F.transform(found, lambda w: F.btrim(w, F.lit(".-+"))), lambda w: w != "")
+    return F.transform(found, lambda w: F.regexp_replace(w, r"^v?([0-9]+)(\.0)?$", "$1"))
 
 
 def _grams(words: Column, longest: int = GRAMS) -> Column:
@@ -82,11 +106,23 @@ def _grams(words: Column, longest: int = GRAMS) -> Column:
 
 
 def _notices(spark: SparkSession) -> DataFrame:
+    """``notice, family, words, pairs, grams, signature``: the signature is a notice's name words, and its numbers
+    where its family is one version of a licence."""
     rows = [(i, family, text) for i, (family, text) in enumerate(NOTICES)]
     known = spark.createDataFrame(rows, "notice int, family string, text string")
     known = known.withColumn("words", _tokens(F.col("text")))
     pairs = F.filter(_grams(F.col("words"), 2), lambda g: F.contains(g, F.lit(" ")))
-    return known.select("notice", "family", "words", pairs.alias("pairs"), _grams(F.col("words")).alias("grams"))
+    names = F.array(*[F.lit(w) for w in sorted(NAMES)])
+    number = lambda w: w.rlike("^[0-9]") & F.contains(F.col("family"), F.concat(F.lit("-"), w))
+    signature = F.filter("words", lambda w: F.array_contains(names, w) | number(w))
+    return known.select(
+        "notice",
+        "family",
+        "words",
+        pairs.alias("pairs"),
+        _grams(F.col("words")).alias("grams"),
+        F.array_distinct(signature).alias("signature"),
+    )
 
 
 def _ordinary(docs: DataFrame) -> DataFrame:
@@ -101,9 +137,13 @@ def _ordinary(docs: DataFrame) -> DataFrame:
     return lines.distinct().orderBy(F.xxhash64("words"), F.array_join("words", " ")).limit(ORDINARY)
 
 
+def _share(own: Column, pairs: Column) -> Column:
+    return F.size(F.array_intersect(pairs, own)) / F.size(pairs)
+
+
 def _overlap(own: Column, templates: Column) -> Column:
     """The largest share of a template's word pairs that ``own`` holds."""
-    return F.array_max(F.transform(templates, lambda t: F.size(F.array_intersect(t, own)) / F.size(t)))
+    return F.array_max(F.transform(templates, lambda t: _share(own, t)))
 
 
 def _examples(notices: DataFrame, ordinary: DataFrame) -> DataFrame:
@@ -129,7 +169,8 @@ class LicenceModel:
     def __init__(self, docs: DataFrame):
         spark = docs.sparkSession
         self.notices = _notices(spark)
-        known = self.notices.select("words", "pairs", "grams").collect()  # the fixed notices above
+        known = self.notices.select("family", "words", "pairs", "grams").collect()  # the fixed notices above
+        self.pairs = [(row["family"], row["pairs"]) for row in known]
         self.grams = sorted({g for row in known for g in row["grams"]})
         words = sorted({w for row in known for w in row["words"]})
         # Written with its pairs, which a filter would make anew for each template.
@@ -199,22 +240,29 @@ class LicenceModel:
         chance = 1 / (1 + F.exp(-(F.lit(self.slope) * F.col("margin") + F.lit(self.offset))))
         scored = scored.withColumn("probability", F.round(chance, 6)).where(F.col("probability") >= LEAST_PROBABILITY)
         scored = scored.select("doc_id", "paragraph_no", "paragraph", "words", "family", "probability")
-        # One array of word pairs per notice, grouped by family: as many rows as NOTICES has families.
-        templates = self.notices.groupBy("family").agg(F.collect_list("pairs").alias("templates"))
-        pairs = _grams(F.col("words"), 2)
-        return (
-            scored.withColumn("own", pairs)
-            .join(F.broadcast(templates), "family")
-            .withColumn("overlap", F.round(_overlap(F.col("own"), F.col("templates")), 6))
-            .select(
-                "doc_id",
-                F.col("paragraph_no").cast("long").alias("paragraph_no"),
-                F.btrim("paragraph", F.lit(BLANKS)).alias("paragraph"),
-                "family",
-                "probability",
-                "overlap",
-                (F.col("overlap") >= LEAST_OVERLAP).alias("confirmed"),
-            )
+        # One array of notices per family: as many rows as NOTICES has families.
+        templates = self.notices.groupBy("family").agg(F.collect_list(F.struct("pairs", "signature")).alias("templates"))
+        # Written, for a pair list would be made anew for every notice it is held against.
+        scored = staged(scored.withColumn("own", _grams(F.col("words"), 2)), "licence-predictions")
+        near = scored.join(F.broadcast(templates), "family")
+        known = F.array(
+            *[F.struct(F.lit(f).alias("family"), F.array(*[F.lit(g) for g in pairs]).alias("pairs")) for f, pairs in self.pairs]
+        )
+        others = F.filter(known, lambda t: t["family"] != F.col("family"))
+        near = near.withColumn("rival", _overlap(F.col("own"), F.transform(others, lambda t: t["pairs"])))
+        confirms = lambda t: (
+            (_share(F.col("own"), t["pairs"]) >= F.greatest(F.lit(LEAST_OVERLAP), F.col("rival")))
+            & (F.size(F.array_except(t["signature"], F.col("words"))) == 0)
+        )
+        overlap = _overlap(F.col("own"), F.transform("templates", lambda t: t["pairs"]))
+        return near.select(
+            "doc_id",
+            F.col("paragraph_no").cast("long").alias("paragraph_no"),
+            F.btrim("paragraph", F.lit(BLANKS)).alias("paragraph"),
+            "family",
+            "probability",
+            F.round(overlap, 6).alias("overlap"),
+            F.exists("templates", confirms).alias("confirmed"),
         )
 
 

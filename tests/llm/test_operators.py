@@ -337,6 +337,34 @@ def test_licences(spark, docs, empty):
     assert licences.scan_licences(empty).count() == 0
 
 
+LOOK_ALIKES = [
+    ("ISC", "Released under the ISC License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("EPL-2.0", "Licensed under the Eclipse Public License, Version 2.0."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("Unlicense", "Released under the Unlicense."),
+    ("GPL-1.0", "This work is licensed under the GNU General Public License, version 1."),
+    ("CC-BY-ND", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-SA", "Licensed under CC BY-SA 3.0."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.0."),
+    ("BSD", "Licensed under the BSD 2-Clause License."),
+    ("MIT", "This project is licensed under the terms of the MIT license."),
+    (None, "Released under the Zlib License."),
+    (None, "Licensed under the Artistic License, Version 2.0."),
+    (None, "This work is licensed under the GNU General Public License, version 4."),
+    (None, "Licensed under CC BY-XX 4.0."),
+]
+
+
+def test_look_alikes_are_not_confirmed_as_other_licences(spark):
+    rows = [(i, text) for i, (_, text) in enumerate(LOOK_ALIKES)]
+    found = licences.scan_licences(spark.createDataFrame(rows, "doc_id bigint, text string")).where("confirmed")
+    got = {r["doc_id"]: r["family"] for r in found.collect()}
+    assert got == {i: family for i, (family, _) in enumerate(LOOK_ALIKES) if family}
+
+
 def test_frequent_licences_are_scored(spark):
     footers = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0."]
     prose = lambda i: " ".join(WORDS[(i * k + k) % 19] + str(i % 7) for k in range(1, 9))
