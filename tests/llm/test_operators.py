@@ -320,6 +320,24 @@ def test_quality_on_held_out_rows(spark, empty):
     assert quality.grade_documents(empty, model).count() == 0
 
 
+def test_quality_finds_toxic_documents_it_was_not_fitted_to(spark):
+    """Registered settings, fitted to every other labelled row."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    graded = labels.select("doc_id", quality.grade().alias("grade"))
+    model = quality.fit(docs, graded.where("doc_id % 2 = 0"))
+    held = docs.join(labels.where("doc_id % 2 = 1"), "doc_id").where("quality is not null and toxic is not null")
+    scored = quality.grade_documents(held, model).select("row.quality", "row.toxic", "tails").collect()
+    gone = lambda q, t: [r["tails"][-1] < quality.KEEP_PROBABILITY for r in scored if (r["quality"], r["toxic"]) == (q, t)]
+    assert np.mean(gone(1, 0)) <= 0.015
+    assert np.mean(gone(1, 1)) >= 0.8 and np.mean(gone(0, 0)) >= 0.75
+
+
+def test_quality_fits_to_one_row_of_each_id(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, "c"), (None, "d")], "doc_id bigint, text string")
+    graded = spark.createDataFrame([(1, 2), (1, 2), (2, 0), (None, 1), (9, 1)], "doc_id bigint, grade int")
+    assert sorted(quality.sample(docs, graded, 3).collect()) == [(0, "c"), (2, "")]
+
+
 def test_quality_takes_any_row(docs):
     model = quality.Model(np.zeros(quality.BUCKETS, np.float32), np.array([-1.0, 1.0]))
     assert quality.grade_documents(docs, model).count() == docs.count()
