@@ -2,7 +2,8 @@
 
 Word n-grams of known notices are the sparse features of a multinomial logistic regression over
 licence families and an unknown class. It is fitted on damaged copies of the notices, ordinary
-paragraphs of the scanned table and fragments; a second regression on held-out examples turns its
+paragraphs of the scanned table and fragments. What is scored are single lines and, for wrapped notices,
+runs of lines that all hold words of notices, so that a blank line ends a run; a second regression on held-out examples turns its
 margin into a calibrated probability. A prediction is confirmed by comparison with the notices: one of
 the family must be half there with its name and version, and no other family's may be closer.
 """
@@ -14,7 +15,7 @@ import re
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BLANKS, staged, table, text_of
@@ -61,6 +62,17 @@ NOTICES = [
     ("CC-BY-NC-ND", "Licensed under CC BY-NC-ND 4.0"),
     ("CC-BY-NC-ND", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
     ("Proprietary", "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher"),
+    ("Proprietary", "All rights reserved"),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later"),
+    ("BSD", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("BSD", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("ISC", "SPDX-License-Identifier: ISC"),
 ]
 UNKNOWN = "unknown"
 BUCKETS = 1 << 14
@@ -68,8 +80,8 @@ ORDINARY = 2000  # ordinary paragraphs used for fitting at most, by hash
 VARIANTS = 60  # damaged copies of each notice
 # Everyday words of the notices. All others are anchors: no notice has half of its word pairs without one.
 EVERYDAY = frozenset(
-    "a all and any are as at be by can charge code deal either except extent file files following forms general has in is"
-    " it law may met no not of or part person possible provided related that the this to under universal use v version with"
+    "a all and any are as at be by can charge clause code deal either except extent file files following forms general has"
+    " in is it law may met no not of only or part person possible provided related that the this to under universal use v version with"
     " without work you your".split()
 )
 # Words of licence names: a notice that has one is confirmed only where the text has it too.
@@ -222,7 +234,8 @@ class LicenceModel:
 
     def scan(self, docs: DataFrame) -> DataFrame:
         anchors = F.array(*[F.lit(w) for w in self.anchors])
-        rows = docs.select("doc_id", text_of().alias("text"))
+        # Repeated rows are told apart by a number, which the written lines fix.
+        rows = docs.select("doc_id", text_of().alias("text"), F.monotonically_increasing_id().alias("row"))
         # A paragraph without any of the anchors is unknown. The longest plain part of each anchor
         # is looked for first, so that few documents and lines are taken to pieces carefully.
         part = lambda w: max(re.findall("[a-z0-9]+", w), key=lambda x: (x not in EVERYDAY, len(x)))
@@ -230,20 +243,23 @@ class LicenceModel:
         plain = F.array(*[F.lit(w) for w in plain])
         hint = lambda text: F.arrays_overlap(F.split(F.lower(text), "[^a-z0-9]+"), plain)
         rows = rows.where(hint(F.col("text")))
-        lines = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph_no", "paragraph"))
+        lines = rows.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph_no", "paragraph"))
         lines = lines.where(hint(F.col("paragraph")))
         lines = lines.withColumn("words", _tokens(F.col("paragraph"))).where(F.arrays_overlap("words", anchors))
         # Written, for the filter on the probability would be pushed below the n-grams and take the
         # paragraph to pieces again for each of its words.
-        lines = staged(self._known_grams(lines), "licence-lines")
-        scored = self._margin(self.classifier.transform(self.hashing.transform(lines)))
+        units = staged(self._known_grams(_with_runs(staged(lines, "licence-lines"))), "licence-units")
+        scored = self._margin(self.classifier.transform(self.hashing.transform(units)))
         chance = 1 / (1 + F.exp(-(F.lit(self.slope) * F.col("margin") + F.lit(self.offset))))
         scored = scored.withColumn("probability", F.round(chance, 6)).where(F.col("probability") >= LEAST_PROBABILITY)
-        scored = scored.select("doc_id", "paragraph_no", "paragraph", "words", "family", "probability")
+        scored = scored.select("row", "run", "lines", "doc_id", "paragraph_no", "paragraph", "words", "family", "probability")
         # One array of notices per family: as many rows as NOTICES has families.
         templates = self.notices.groupBy("family").agg(F.collect_list(F.struct("pairs", "signature")).alias("templates"))
         # Written, for a pair list would be made anew for every notice it is held against.
-        scored = staged(scored.withColumn("own", _grams(F.col("words"), 2)), "licence-predictions")
+        # Only pairs of some notice matter there, so a long run is held against few.
+        of_notices = F.array(*[F.lit(g) for g in sorted({g for _, pairs in self.pairs for g in pairs})])
+        own = F.array_intersect(_grams(F.col("words"), 2), of_notices)
+        scored = staged(scored.withColumn("own", own), "licence-predictions")
         near = scored.join(F.broadcast(templates), "family")
         known = F.array(
             *[F.struct(F.lit(f).alias("family"), F.array(*[F.lit(g) for g in pairs]).alias("pairs")) for f, pairs in self.pairs]
@@ -255,20 +271,51 @@ class LicenceModel:
             & (F.size(F.array_except(t["signature"], F.col("words"))) == 0)
         )
         overlap = _overlap(F.col("own"), F.transform("templates", lambda t: t["pairs"]))
-        return near.select(
+        near = near.withColumn("overlap", F.round(overlap, 6)).withColumn("confirmed", F.exists("templates", confirms))
+        return _lines_or_runs(near).select(
             "doc_id",
             F.col("paragraph_no").cast("long").alias("paragraph_no"),
             F.btrim("paragraph", F.lit(BLANKS)).alias("paragraph"),
             "family",
             "probability",
-            F.round(overlap, 6).alias("overlap"),
-            F.exists("templates", confirms).alias("confirmed"),
+            "overlap",
+            "confirmed",
         )
 
 
+def _with_runs(lines: DataFrame) -> DataFrame:
+    """The lines of each ``row``, and every run of two or more that follow on each other as one unit:
+    ``run`` and ``lines`` (how many) beside the columns of a line. A window holds one document's lines."""
+    place = F.row_number().over(Window.partitionBy("row").orderBy("paragraph_no"))
+    lines = lines.withColumn("run", F.col("paragraph_no") - place)
+    parts = F.sort_array(F.collect_list(F.struct("paragraph_no", "paragraph", "words")))
+    runs = lines.groupBy("row", "run").agg(F.count("*").alias("lines"), F.first("doc_id").alias("doc_id"), parts.alias("parts"))
+    runs = runs.where("lines > 1").select(
+        "row",
+        "doc_id",
+        F.col("parts")[0]["paragraph_no"].alias("paragraph_no"),
+        F.array_join("parts.paragraph", "\n").alias("paragraph"),
+        F.flatten("parts.words").alias("words"),
+        "run",
+        "lines",
+    )
+    return lines.withColumn("lines", F.lit(1).cast("bigint")).unionByName(runs)
+
+
+def _lines_or_runs(found: DataFrame) -> DataFrame:
+    """A run stands for its lines where it is confirmed as a family that none of them is; else they do."""
+    within = Window.partitionBy("row", "run")
+    is_run = F.col("lines") > 1
+    family = F.max(F.when(is_run & F.col("confirmed"), F.col("family"))).over(within)
+    of_lines = F.collect_set(F.when(~is_run & F.col("confirmed"), F.col("family"))).over(within)
+    found = found.withColumn("wrapped", family.isNotNull() & ~F.array_contains(of_lines, F.coalesce(family, F.lit(""))))
+    return found.where(F.when(is_run, F.col("confirmed") & F.col("wrapped")).otherwise(F.col("confirmed") | ~F.col("wrapped")))
+
+
 def scan_licences(docs: DataFrame) -> DataFrame:
     """``doc_id, paragraph_no, paragraph, family, probability, overlap, confirmed``: one row for each
-    line that is probably a licence notice.
+    line that is probably a licence notice, or for the run of lines over which one is wrapped (the number is
+    that of its first line, counted from 0).
 
     NULL and empty texts have none; a NULL ``doc_id`` stays NULL; repeated rows repeat their lines;
     other columns are ignored; an empty table gives an empty table (the notices alone are learned).
@@ -277,4 +324,5 @@ def scan_licences(docs: DataFrame) -> DataFrame:
 
 
 def op4_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence notices of every whole text of ``documents``; see :func:`scan_licences`."""
     return scan_licences(table(spark, folder, "documents"))

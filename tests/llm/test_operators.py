@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -383,6 +384,24 @@ def test_look_alikes_are_not_confirmed_as_other_licences(spark):
     assert got == {i: family for i, (family, _) in enumerate(LOOK_ALIKES) if family}
 
 
+def test_wrapped_notices_are_confirmed(spark):
+    rows, wanted = [], set()
+    for width in (70, 72, 80):
+        for number in (1, 5, 7, 9, 10, 13):
+            family, text = licences.NOTICES[number]
+            notice = "\n".join(f" * {line}" for line in textwrap.wrap(text, width))
+            rows.append((100 * width + number, f"/*\n{notice}\n */\n\nThe poet went home."))
+            wanted.add((100 * width + number, family))
+    rows += [(20, "SPDX-License-Identifier: MIT"), (21, "All rights reserved."), (22, "a\n\nb"), (23, None)]
+    wanted |= {(20, "MIT"), (21, "Proprietary")}
+    # A repeated row repeats its notices and does not lengthen their runs.
+    rows.append(rows[2])
+    found = licences.scan_licences(spark.createDataFrame(rows, "doc_id bigint, text string")).where("confirmed").collect()
+    assert {(r["doc_id"], r["family"]) for r in found} == wanted
+    gpl = [r["paragraph_no"] for r in found if r["doc_id"] == 7007]
+    assert gpl == [1, 1]
+
+
 def test_frequent_licences_are_scored(spark):
     footers = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0."]
     prose = lambda i: " ".join(WORDS[(i * k + k) % 19] + str(i % 7) for k in range(1, 9))
