@@ -78,10 +78,10 @@ UNKNOWN = "unknown"
 BUCKETS = 1 << 14
 ORDINARY = 2000  # ordinary paragraphs used for fitting at most, by hash
 VARIANTS = 60  # damaged copies of each notice
-# Everyday words of the notices. All others are anchors: no notice has half of its word pairs without one.
+# Everyday words of the notices, and "mit", which is one in German. All others are anchors: no notice has half of its word pairs without one.
 EVERYDAY = frozenset(
-    "a all and any are as at be by can charge clause code deal either except extent file files following forms general has"
-    " in is it law may met no not of only or part person possible provided related that the this to under universal use v version with"
+    "a all and any are as at be by can charge clause code deal either except extent file files following for forms general"
+    " has in is it law may met mit no not of only or part person possible provided related that the this to under universal use v version with"
     " without work you your".split()
 )
 # Words of licence names: a notice that has one is confirmed only where the text has it too.
