@@ -78,10 +78,10 @@ UNKNOWN = "unknown"
 BUCKETS = 1 << 14
 ORDINARY = 2000  # ordinary paragraphs used for fitting at most, by hash
 VARIANTS = 60  # damaged copies of each notice
-# Everyday words of the notices, and "mit", which is one in German. All others are anchors: no notice has half of its word pairs without one.
+# Everyday words of the notices. All others are anchors: no notice has half of its word pairs without one.
 EVERYDAY = frozenset(
     "a all and any are as at be by can charge clause code deal either except extent file files following for forms general"
-    " has in is it law may met mit no not of only or part person possible provided related that the this to under universal use v version with"
+    " has in is it law may met no not of only or part person possible provided related that the this to under universal use v version with"
     " without work you your".split()
 )
 # Words of licence names: a notice that has one is confirmed only where the text has it too.
@@ -246,6 +246,9 @@ class LicenceModel:
         lines = rows.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph_no", "paragraph"))
         lines = lines.where(hint(F.col("paragraph")))
         lines = lines.withColumn("words", _tokens(F.col("paragraph"))).where(F.arrays_overlap("words", anchors))
+        # Half of a notice holds a pair with an anchor; in German, "mit" alone tells nothing.
+        close = sorted({g for _, pairs in self.pairs for g in pairs if not set(self.anchors).isdisjoint(g.split(" "))})
+        lines = lines.where(F.arrays_overlap(_grams(F.col("words"), 2), F.array(*[F.lit(g) for g in close])))
         # Written, for the filter on the probability would be pushed below the n-grams and take the
         # paragraph to pieces again for each of its words.
         units = staged(self._known_grams(_with_runs(staged(lines, "licence-lines"))), "licence-units")
