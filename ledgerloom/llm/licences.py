@@ -245,10 +245,14 @@ class LicenceModel:
         rows = rows.where(hint(F.col("text")))
         lines = rows.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph_no", "paragraph"))
         lines = lines.where(hint(F.col("paragraph")))
-        lines = lines.withColumn("words", _tokens(F.col("paragraph"))).where(F.arrays_overlap("words", anchors))
         # Half of a notice holds a pair with an anchor; in German, "mit" alone tells nothing.
         close = sorted({g for _, pairs in self.pairs for g in pairs if not set(self.anchors).isdisjoint(g.split(" "))})
-        lines = lines.where(F.arrays_overlap(_grams(F.col("words"), 2), F.array(*[F.lit(g) for g in close])))
+        close = F.array(*[F.lit(g) for g in close])
+        # A filter on a column of words would be pushed below it and take the paragraph to pieces again for
+        # each of its pairs; as the one element of an array, its words are taken once.
+        worth = lambda words: F.arrays_overlap(words, anchors) & F.arrays_overlap(_grams(words, 2), close)
+        lines = lines.where(F.exists(F.array(_tokens(F.col("paragraph"))), worth))
+        lines = lines.withColumn("words", _tokens(F.col("paragraph")))
         # Written, for the filter on the probability would be pushed below the n-grams and take the
         # paragraph to pieces again for each of its words.
         units = staged(self._known_grams(_with_runs(staged(lines, "licence-lines"))), "licence-units")

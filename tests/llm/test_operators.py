@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import re
 import textwrap
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -411,6 +412,20 @@ def test_frequent_licences_are_scored(spark):
     assert Counter(map(tuple, found.select("doc_id", "paragraph_no", "family").collect())) == expected
 
 
+def test_long_lines_take_linear_time(spark, empty):
+    # The same words as long lines and as short ones, with an anchor everywhere and no pair of a notice.
+    words = [w for i in range(600) for w in (WORDS[i % 19], "mit", WORDS[i % 17])]
+    texts = [" ".join(words), "\n".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9))]
+    model = licences.LicenceModel(empty.select("doc_id", "text"))
+    took = []
+    for text in texts:
+        rows = spark.range(200).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+        start = time.perf_counter()
+        assert model.scan(rows).count() == 0
+        took.append(time.perf_counter() - start)
+    assert took[0] < 5 + 3 * took[1]
+
+
 def test_no_notice_can_be_confirmed_without_an_anchor(spark):
     for notice in licences._notices(spark).collect():
         assert notice["pairs"] == list(dict.fromkeys(map(" ".join, zip(notice["words"], notice["words"][1:]))))
