@@ -26,6 +26,8 @@ PLAIN = "ɐ"  # below it the two libraries agree on letters, numbers and blanks
 class Memo(dict):
     """A dictionary that computes what it lacks and starts afresh when full."""
 
+    used = None  # the one that a task of this worker process took last
+
     def __init__(self, compute: Callable, limit: int = REMEMBERED):
         super().__init__()
         self.compute, self.limit = compute, limit
@@ -38,6 +40,14 @@ class Memo(dict):
             self[key] = value
         return value
 
+    def taken(self) -> Memo:
+        """This one, for a task that begins. Workers outlive an operator, so what the one before remembers is dropped."""
+        if Memo.used is not self:
+            if Memo.used is not None:
+                Memo.used.clear()
+            Memo.used = self
+        return self
+
 
 @functools.lru_cache(2)
 def rank_encoding(file: str):

@@ -94,6 +94,7 @@ def registers(hashes: np.ndarray) -> np.ndarray:
 
 def _signature(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, text_hash, text) to (doc_id, text_hash, n_shingles, node, bands)."""
+    _memo().taken()
     for batch in batches:
         counts, nodes, bands = [], [], []
         for text in batch["text"].to_pylist():
@@ -113,6 +114,7 @@ def _signature(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    _memo().taken()
     for batch in batches:
         for begin in range(0, batch.num_rows, 256):
             part = batch.slice(begin, 256)

@@ -30,6 +30,7 @@ RANK_BLOCK = 20_000  # pieces ranked by one window group
 
 def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, ranks: str, size: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     encoder = bpe.library_encoder(vocabulary, ranks)
+    encoder.memo.taken()
     end, width = bpe.packed([end_id]), 4 * size
     for batch in batches:
         for begin in range(0, batch.num_rows, 512):

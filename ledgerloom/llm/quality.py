@@ -76,7 +76,7 @@ def _memo() -> Memo:
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo = _memo()
+    memo = _memo().taken()
     for batch in batches:
         found = [sorted(features(t, memo)) for t in batch["text"].to_pylist()]
         yield pa.RecordBatch.from_arrays([batch["grade"], pa.array(found, pa.list_(pa.int32()))], names=["grade", "features"])
@@ -188,7 +188,7 @@ def train(grades: np.ndarray, owners: np.ndarray, columns: np.ndarray, n_grades:
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    memo, weights = _memo(), model.weights.astype(np.float64)
+    memo, weights = _memo().taken(), model.weights.astype(np.float64)
     for batch in batches:
         scores = []
         for text in batch["text"].to_pylist():

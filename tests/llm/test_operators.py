@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import oracle
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,6 +200,17 @@ def test_near_duplicates_are_dropped_with_all_columns(docs):
     assert left.count() == groups
 
 
+def test_a_worker_drops_what_an_earlier_operator_remembers():
+    batch = pa.table({"row": [0, 1], "doc_id": [0, 1], "text_hash": [0, 1], "text": [BASE, LONG]}).to_batches()[0]
+    model = quality.Model(np.zeros(quality.BUCKETS, np.float32), np.array([-2.0, -1.0]))
+    first = [b.to_pylist() for b in quality._score(iter([batch]), model)]
+    assert quality._memo()
+    list(near._signature(iter([batch]), 5))
+    assert near._memo() and not quality._memo()
+    assert [b.to_pylist() for b in quality._score(iter([batch]), model)] == first
+    assert quality._memo() and not near._memo()
+
+
 def test_estimate_follows_the_similarity():
     rng = np.random.default_rng(1)
     pool = np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * 2)
