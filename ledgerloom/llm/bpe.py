@@ -82,21 +82,12 @@ def packed(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
-class RankEncoder:
-    """Text to packed ids as tiktoken's ``encode_ordinary`` gives them."""
-
-    def __init__(self, file: str):
-        self.encoding = rank_encoding(file)
-        self.memo = Memo(lambda part: packed(self.encoding.encode_ordinary(part)))
-
-    def __call__(self, text: str) -> bytes:
-        return b"".join(map(self.memo.__getitem__, parts(text)))
-
-
-@functools.lru_cache(2)
-def rank_encoder(file: str) -> RankEncoder:
-    """One encoder per worker process, so that tasks share what it remembers."""
-    return RankEncoder(file)
+def unpacked(ids: bytes) -> list[int]:
+    """What ``packed`` was given."""
+    out = array("I", ids)
+    if os.sys.byteorder == "big":
+        out.byteswap()
+    return out.tolist()
 
 
 class LibraryEncoder:

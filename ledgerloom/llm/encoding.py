@@ -22,12 +22,21 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 CHUNK = 16_384  # characters; a longer text is cut
 OVERLAP = 256  # characters read beyond a chunk's end to find a common boundary
 LOOK_AHEAD = 3  # characters the split pattern may look at beyond a match
+ROWS = 128  # rows of a batch that a task holds as Python objects at a time
+IDS = 65_536  # ids that it holds as numbers
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            yield batch.slice(start, ROWS)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], size: int, overlap: int) -> Iterator[pa.RecordBatch]:
     """Every text as rows of (key, chunk number, last, characters with the overlap)."""
     for batch in batches:
-        for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist()):
+        for key, text in zip(batch["key"], batch["text"]):
+            key, text = key.as_py(), text.as_py()
             last = (len(text) - 1) // size
             for first in range(0, last + 1, 64):
                 numbers = range(first, min(last + 1, first + 64))
@@ -59,36 +68,36 @@ def _pre_tokenise(batches: Iterator[pa.RecordBatch], size: int, overlap: int) ->
 
     pattern = regex.compile(public_tokenizers.PATTERN)
     kind = pa.list_(pa.int64())
-    for batch in batches:
+    for batch in _slices(batches):
         head, tail = [], []
-        for body, last in zip(batch["body"].to_pylist(), batch["last"].to_pylist()):
+        bodies = batch["body"].to_pylist()
+        for body, last in zip(bodies, batch["last"].to_pylist()):
             found = [p for p in _boundaries(body, pattern, last) if p and not body[p - 1].isspace()]
             head.append([p for p in found if p < overlap])
             tail.append([] if last else [p - size for p in found if 0 < p - size < overlap])
-        blank = [[body[p] in " \n" for p in h] for body, h in zip(batch["body"].to_pylist(), head)]
+        blank = [[body[p] in " \n" for p in h] for body, h in zip(bodies, head)]
         columns = [*batch.columns, pa.array(head, kind), pa.array(tail, kind), pa.array(blank, pa.list_(pa.bool_()))]
         yield pa.RecordBatch.from_arrays(columns, names=["key", "chunk", "last", "body", "head", "tail", "blank"])
 
 
 def _encode(batches: Iterator[pa.RecordBatch], ranks: str) -> Iterator[pa.RecordBatch]:
     """(…, text) to (…, ids): packed little-endian unsigned 32-bit integers."""
-    encoder = bpe.rank_encoder(ranks)
-    for batch in batches:
-        names = [n for n in batch.schema.names if n != "text"]
-        for start in range(0, batch.num_rows, 512):
-            part = batch.slice(start, 512)
-            ids = pa.array([encoder(t) for t in part["text"].to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(part[n] for n in names), ids], names=[*names, "ids"])
+    encoding = bpe.rank_encoding(ranks)
+    for part in _slices(batches):
+        names = [n for n in part.schema.names if n != "text"]
+        ids = pa.array([bpe.packed(encoding.encode_ordinary(t)) for t in part["text"].to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*(part[n] for n in names), ids], names=[*names, "ids"])
 
 
 def _decode(batches: Iterator[pa.RecordBatch], ranks: str) -> Iterator[pa.RecordBatch]:
     encoding = bpe.rank_encoding(ranks)
-    known = {i: encoding.decode_single_token_bytes(i) for i in range(encoding.max_token_value + 1)}
-    for batch in batches:
-        for start in range(0, batch.num_rows, 512):
-            part = batch.slice(start, 512)
-            raw = [None if x is None else b"".join(map(known.__getitem__, memoryview(x).cast("I"))) for x in part["ids"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], names=[*part.schema.names, "bytes"])
+
+    def text_bytes(ids: bytes) -> bytes:
+        return b"".join(encoding.decode_bytes(bpe.unpacked(ids[k : k + 4 * IDS])) for k in range(0, len(ids), 4 * IDS))
+
+    for part in _slices(batches):
+        raw = [None if x is None else text_bytes(x) for x in part["ids"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], names=[*part.schema.names, "bytes"])
 
 
 def encode_documents(

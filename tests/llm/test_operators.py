@@ -5,6 +5,7 @@ import itertools
 import re
 import textwrap
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -67,6 +68,37 @@ def test_encoding_equals_tiktoken_and_decodes(docs, empty):
     assert encoding.encode_documents(empty).count() == 0
 
 
+def test_a_worker_keeps_nothing_of_the_texts_it_encodes():
+    """Four workers of an executor take part in the last stage, so what each holds counts fourfold."""
+    bpe.rank_encoding(encoding.RANKS)
+    texts = [" ".join(f"{WORDS[i % 19]}{i * 50 + k}" for k in range(50)) for i in range(2000)]
+    ids = [bpe.packed(bpe.rank_encoding(encoding.RANKS).encode_ordinary(t)) for t in texts]
+    chunks = pa.record_batch(
+        [["k"] * 2000, list(range(2000)), [False] * 2000, [LONG[:1024]] * 2000], names=["key", "chunk", "last", "body"]
+    )
+    steps = {
+        "encode": lambda: encoding._encode(iter([pa.record_batch([texts], names=["text"])]), encoding.RANKS),
+        "decode": lambda: encoding._decode(iter([pa.record_batch([pa.array(ids[:9])], names=["ids"])]), encoding.RANKS),
+        "chunks": lambda: encoding._pre_tokenise(iter([chunks]), 1024, encoding.OVERLAP),
+    }
+    for step, run in steps.items():
+        run = run()
+        tracemalloc.start()
+        for batch in run:
+            del batch
+        left, most = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert left < 2e6 and most < 4e6, (step, left, most)
+
+
+def test_ids_of_one_text_are_decoded_block_by_block(monkeypatch):
+    monkeypatch.setattr(encoding, "IDS", 3)
+    for text in ("", "a", TEXTS[9], BASE):
+        ids = bpe.packed(bpe.rank_encoding(encoding.RANKS).encode_ordinary(text))
+        (batch,) = encoding._decode(iter([pa.record_batch([pa.array([ids, None])], names=["ids"])]), encoding.RANKS)
+        assert batch["bytes"].to_pylist() == [text.encode(), None]
+
+
 def test_counts_equal_the_library(docs, empty):
     library = bpe.json_tokenizer(tokens.VOCABULARY)
     want = Counter((i, len(t.encode()), len(library.encode(t, add_special_tokens=False).ids)) for i, t in pairs_of(docs))
